@@ -11,20 +11,23 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, LinearSVCModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+Projection = list[tuple[list[float], float]]
 
 
 @dataclass
 class KernelSvm:
     features: list[str]
-    projection: list[tuple[list[float], float]]
+    projection: Projection
     classifier: LinearSVCModel
 
 
-def random_projection(n_features: int, gamma: float, components: int, seed: int) -> list[tuple[list[float], float]]:
+def random_projection(n_features: int, gamma: float, components: int, seed: int) -> Projection:
     """Weights ~ N(0, 2 * gamma) and offsets ~ U(0, 2 pi), one pair per component."""
     rng = np.random.default_rng(seed)
     weights = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(components, n_features))
@@ -32,16 +35,35 @@ def random_projection(n_features: int, gamma: float, components: int, seed: int)
     return [([float(x) for x in w], float(b)) for w, b in zip(weights, offsets)]
 
 
-def fourier_features(features: Sequence[str], projection: Sequence[tuple[list[float], float]]) -> Column:
-    """sqrt(2 / D) * cos(w.x + b) for every component, as one vector expression."""
+def _feature_map(projection: Projection):
+    """Batch function: columns -> matrix of sqrt(2 / D) * cos(w.x + b)."""
+    weights = np.array([w for w, _ in projection]).T
+    offsets = np.array([b for _, b in projection])
     scale = math.sqrt(2.0 / len(projection))
-    components = []
-    for weights, offset in projection:
-        angle = F.lit(offset)
-        for c, w in zip(features, weights):
-            angle = angle + F.col(c) * F.lit(w)
-        components.append(F.cos(angle) * F.lit(scale))
-    return array_to_vector(F.array(*components))
+
+    def apply(columns: Sequence[pa.Array]) -> np.ndarray:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns])
+        return scale * np.cos(x @ weights + offsets)
+
+    return apply
+
+
+def _doubles(features: Sequence[str]) -> list[Column]:
+    return [F.col(c).cast("double") for c in features]
+
+
+def fourier_features(features: Sequence[str], projection: Projection) -> Column:
+    """The random feature map as a vector column, one matrix product per Arrow batch."""
+    feature_map = _feature_map(projection)
+    width = len(projection)
+
+    def mapped(*columns: pa.Array) -> pa.Array:
+        matrix = feature_map(columns)
+        offsets = pa.array(np.arange(0, matrix.size + 1, width, dtype=np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(matrix.ravel()))
+
+    udf = F.arrow_udf(mapped, T.ArrayType(T.DoubleType()))
+    return array_to_vector(udf(*_doubles(features)))
 
 
 def fit(
@@ -52,11 +74,14 @@ def fit(
     components: int | None = None,
     reg_param: float = 1.0,
     tol: float = 1e-3,
-    max_iter: int = 100_000,
+    max_iter: int = 200,
     balanced: bool = True,
     seed: int = 7,
 ) -> KernelSvm:
-    """``balanced`` weights a row by n / (2 * size of its class)."""
+    """``balanced`` weights a row by n / (2 * size of its class).
+
+    ``max_iter`` counts quasi-Newton steps, each one pass over the data.
+    """
     n = len(features)
     projection = random_projection(n, gamma or 1.0 / n, components or max(100, 2 * n), seed)
     y = F.col(label).cast("double")
@@ -73,28 +98,15 @@ def fit(
 
 
 def predict(df: DataFrame, model: KernelSvm, id_column: str) -> DataFrame:
-    """(id, prediction 0/1). The margin is an expression, so no vector is built per row."""
-    scale = math.sqrt(2.0 / len(model.projection))
-    margin = F.lit(float(model.classifier.intercept))
-    coefficients = [float(c) for c in model.classifier.coefficients]
-    terms = F.array(
-        *[
-            F.struct(
-                F.array(*[F.lit(x) for x in w]).alias("w"), F.lit(b).alias("b"), F.lit(c * scale).alias("c")
-            )
-            for (w, b), c in zip(model.projection, coefficients)
-        ]
-    )
-    x = [F.col(c).cast("double") for c in model.features]
+    """(id, prediction 0/1) from the sign of the margin; NULL where a feature is NULL."""
+    feature_map = _feature_map(model.projection)
+    coefficients, intercept = model.classifier.coefficients.toArray(), float(model.classifier.intercept)
 
-    def add(total: Column, term: Column) -> Column:
-        angle = term["b"]
-        for i, value in enumerate(x):
-            angle = angle + term["w"][i] * value
-        return total + term["c"] * F.cos(angle)
+    def margins(*columns: pa.Array) -> pa.Array:
+        return pa.array(feature_map(columns) @ coefficients + intercept)
 
-    margin = F.aggregate(terms, margin, add)
-    return df.select(id_column, F.when(margin > 0, 1).otherwise(0).alias("prediction"))
+    margin = F.arrow_udf(margins, T.DoubleType())(*_doubles(model.features))
+    return df.select(id_column, F.when(F.isnan(margin), None).when(margin > 0, 1).otherwise(0).alias("prediction"))
 
 
 def projection_table(df: DataFrame, model: KernelSvm) -> DataFrame:

@@ -117,7 +117,7 @@ def adasyn(
     hardness = around.join(labels, "item_id").groupBy("query_id").agg(
         F.avg((F.col("label") == 0).cast("double")).alias("r")
     )
-    sizes = rows.agg(F.struct(F.count_if("label = 0").alias("n0"), F.count_if("label = 1").alias("n1"))).scalar()
+    sizes = rows.agg(F.struct(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))).scalar()
     norm = hardness.agg(F.sum("r")).scalar()
     wanted = hardness.select(
         F.col("query_id").alias("id"),

@@ -21,20 +21,23 @@ _ACCURACY = 20_000  # the sketch's rank error is at most rows / _ACCURACY
 
 def _bracketed_counts(df: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float]) -> DataFrame:
     """(keys, v, gap, n, _rows, _max): values near a quantile one by one, the others lumped."""
-    slack = 2.0 / _ACCURACY
+    slack = 4.0 / _ACCURACY
     ends = [p for q in quantiles for p in (max(0.0, q - slack), min(1.0, q + slack))]
     data = df.select(*keys, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
     sketch = data.groupBy(*keys).agg(
         F.percentile_approx("v", ends, _ACCURACY).alias("_ends"),
         F.count("v").alias("_rows"),
     )
+    # too few rows for the slack to span whole ranks: such a group keeps all its values
+    small = F.col("_rows") <= _ACCURACY
     joined = data.join(sketch, [*keys])
 
     # a lump sorts right behind the last single value below it
     lump = F.struct(F.lit(float("-inf")).alias("v"), F.lit(1).alias("gap"))
     place: Column | None = None
     for i in range(len(quantiles)):
-        low, high = F.col("_ends")[2 * i], F.col("_ends")[2 * i + 1]
+        low = F.when(small, F.lit(float("-inf"))).otherwise(F.col("_ends")[2 * i])
+        high = F.when(small, F.lit(float("inf"))).otherwise(F.col("_ends")[2 * i + 1])
         single = F.struct(F.col("v").alias("v"), F.lit(0).alias("gap"))
         place = F.when(F.col("v") < low, lump) if place is None else place.when(F.col("v") < low, lump)
         place = place.when(F.col("v") <= high, single)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import kernel_svm, metrics, neighbours, sampling, scaling
+from millrace.session import materialise
 
 FEATURES = [
     "smart_5_raw", "smart_10_raw", "smart_184_raw", "smart_187_raw", "smart_188_raw", "smart_197_raw", "smart_198_raw",
@@ -54,6 +55,7 @@ def balance_and_scale(
         balanced = neighbours.adasyn(prepared, id_column, features, label)
     else:
         raise ValueError("method must be 'balance' or 'adasyn'")
+    balanced = materialise(balanced)  # read by the scaler and by every pass of the fit
     scaler = scaling.standard_fit(balanced, features)
     return scaling.standard_apply(balanced, scaler, features), scaler
 
@@ -61,9 +63,13 @@ def balance_and_scale(
 def train(
     prepared: DataFrame, adjust_params: bool = True, method: str = "balance", **svm
 ) -> tuple[kernel_svm.KernelSvm, DataFrame]:
-    """(classifier, scaler). ``adjust_params`` switches the full parameter set on."""
+    """(classifier, scaler). ``adjust_params`` switches the full parameter set on.
+
+    Iteration limits are for quasi-Newton steps; the 100 000 row-by-row passes
+    that an incremental gradient method is allowed have no counterpart here.
+    """
     rows, scaler = balance_and_scale(prepared, method=method)
-    full = {"reg_param": 1.0, "tol": 1e-3, "max_iter": 100_000, "balanced": True}
+    full = {"reg_param": 1.0, "tol": 1e-3, "max_iter": 200, "balanced": True}
     plain = {"reg_param": 0.01, "tol": 1e-10, "max_iter": 100, "balanced": False}
     settings = {**(full if adjust_params else plain), **svm}
     return kernel_svm.fit(rows, FEATURES, "failure", **settings), scaler

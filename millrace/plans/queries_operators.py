@@ -200,8 +200,8 @@ def udf_pymax(src: S.Source) -> DataFrame:
 @query(
     "udtf_tokens",
     """WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) token,
-                         generate_subscripts(string_split(text, ' '), 1) at FROM documents)
-       SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY at) AS INTEGER) AS position, token
+                         generate_subscripts(string_split(text, ' '), 1) ix FROM documents)
+       SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ix) AS INTEGER) AS position, token
        FROM w WHERE token <> ''""",
 )
 def udtf_tokens(src: S.Source) -> DataFrame:
@@ -368,8 +368,8 @@ def run_total(src: S.Source) -> DataFrame:
 
 _RUNS = """
 r AS (SELECT CAST(floor((day(ts) - 1) / 8) AS INTEGER) run, event_type use_case, CAST(hour(ts) AS INTEGER) step,
-             CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) seconds FROM events GROUP BY 1, 2, 3),
-j AS (SELECT a.use_case, a.step, a.seconds s1, b.seconds s5, c.seconds s10, d.seconds s15
+             CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS secs FROM events GROUP BY 1, 2, 3),
+j AS (SELECT a.use_case, a.step, a.secs s1, b.secs s5, c.secs s10, d.secs s15
       FROM r a JOIN r b ON a.use_case = b.use_case AND a.step = b.step JOIN r c ON a.use_case = c.use_case AND a.step = c.step
       JOIN r d ON a.use_case = d.use_case AND a.step = d.step
       WHERE a.run = 0 AND b.run = 1 AND c.run = 2 AND d.run = 3)

@@ -208,9 +208,9 @@ def uc03_score(src: S.Source) -> DataFrame:
 
 _TOKENS = r"""
 words AS (SELECT doc_id id, unnest(string_split(lower(regexp_replace(text, '[^a-zA-Z0-9\s]', '', 'g')), ' ')) token,
-                 generate_subscripts(string_split(lower(regexp_replace(text, '[^a-zA-Z0-9\s]', '', 'g')), ' '), 1) at
+                 generate_subscripts(string_split(lower(regexp_replace(text, '[^a-zA-Z0-9\s]', '', 'g')), ' '), 1) ix
           FROM documents),
-tok AS (SELECT id, token, at FROM words WHERE token <> '')
+tok AS (SELECT id, token, ix FROM words WHERE token <> '')
 """
 _UC04_MODEL = f"""{_TOKENS},
 counts AS (SELECT token, count(*) FILTER (WHERE toxic = 1) s, count(*) FILTER (WHERE toxic = 0) h
@@ -237,7 +237,7 @@ def _uc04_predicted(src: S.Source) -> DataFrame:
 
 @query(
     "uc04_tokens",
-    f"WITH {_TOKENS} SELECT id, token, CAST(row_number() OVER (PARTITION BY id ORDER BY at) - 1 AS INTEGER) AS pos FROM tok",
+    f"WITH {_TOKENS} SELECT id, token, CAST(row_number() OVER (PARTITION BY id ORDER BY ix) - 1 AS INTEGER) AS pos FROM tok",
 )
 def uc04_tokens(src: S.Source) -> DataFrame:
     prepared = spam_reviews.preprocess(S.reviews(src), stem=False)

@@ -38,8 +38,12 @@ def daily_change_stream(
     Local time repeats one hour in autumn, hence a delay of at least one hour.
     State is one row per open day and key.
     """
-    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col(ts))
-    start = F.convert_timezone(F.lit(zone), F.lit("UTC"), F.col("_day.start"))
+    # windows and watermarks want an instant: local wall-clock time counted as if it were UTC
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    wall = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col(ts))
+    local = F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, wall))
+    midnight = F.timestamp_add("MICROSECOND", F.unix_micros("_day.start"), epoch)
+    start = F.convert_timezone(F.lit(zone), F.lit("UTC"), midnight)
     return (
         df.withColumn("_local", local)
         .withWatermark("_local", delay)
