@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -79,10 +81,19 @@ def tokens(text: Column, drop_numeric: bool = False) -> Column:
     kept = F.filter(words, lambda w: w != "")
     if drop_numeric:
         kept = F.filter(kept, lambda w: ~w.rlike(r"^\d+$"))
-    return F.when(F.size(kept) > 0, kept)
+    return F.nullif(kept, F.array().cast("array<string>"))
 
 
 def matrix_rows(values: Column, width: int) -> Column:
     """Cut a flat array into consecutive rows of ``width`` values (a 2-D array)."""
     starts = F.sequence(F.lit(0), F.ceil(F.size(values) / F.lit(width)) - 1)
     return F.transform(starts, lambda i: F.slice(values, (i * width + 1).cast("int"), width))
+
+
+def each_token(df: DataFrame, keep: Sequence[str], words: str | Column, alias: str = "token") -> DataFrame:
+    """One row per token of a token list; rows without tokens disappear.
+
+    The outer explode and the filter behind it are deliberate: for a plain explode
+    the optimizer adds a filter on the list, which would build every list again.
+    """
+    return df.select(*keep, F.explode_outer(words).alias(alias)).filter(F.col(alias).isNotNull())

@@ -88,7 +88,9 @@ def fit(
     data = df.select(*[F.col(c).cast("double").alias(c) for c in features], y.alias("label")).dropna()
     weight = F.lit(1.0)
     if balanced:
-        share = data.agg(F.struct(F.avg("label").alias("p"))).scalar()["p"]
+        share = data.agg(F.avg("label")).first()[0]
+        if share is None or not 0 < share < 1:
+            raise ValueError("the balanced classifier needs rows of both classes")
         weight = F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share))
     points = data.select(fourier_features(features, projection).alias("features"), "label", weight.alias("weight"))
     svc = LinearSVC(

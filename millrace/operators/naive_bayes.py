@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.expressions import each_token
+
 # The probabilities of a class sum to 1, so at most 1/_COMMON tokens per class can
 # reach this value: the broadcast part of the model has at most 2/_COMMON rows.
 _COMMON = 2e-5
@@ -13,9 +15,9 @@ _COMMON = 2e-5
 def fit(documents: DataFrame, label: str = "spam", words: str = "text") -> DataFrame:
     """(token, spam_prob, non_spam_prob) with add-one smoothing over the joint vocabulary."""
     counts = (
-        documents.select(F.explode(words).alias("token"), F.col(label).alias("label"))
+        each_token(documents, [label], words)
         .groupBy("token")
-        .agg(F.count_if(F.col("label") == 1).alias("spam"), F.count_if(F.col("label") == 0).alias("non_spam"))
+        .agg(F.count_if(F.col(label) == 1).alias("spam"), F.count_if(F.col(label) == 0).alias("non_spam"))
     )
     totals = counts.agg(
         F.struct(
@@ -55,7 +57,7 @@ def predict(documents: DataFrame, model: DataFrame, log_priors: DataFrame, id_co
     )
     common = F.broadcast(weights.filter("common").drop("common"))
     rare = weights.filter("NOT common").drop("common")
-    occurrences = documents.select(F.col(id_column).alias("id"), F.explode(words).alias("token"))
+    occurrences = each_token(documents.withColumn("id", F.col(id_column)), ["id"], words)
 
     def sums(rows: DataFrame) -> DataFrame:
         return rows.groupBy("id").agg(F.sum("s").alias("s"), F.sum("h").alias("h"))

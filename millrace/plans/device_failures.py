@@ -55,9 +55,9 @@ def balance_and_scale(
         balanced = neighbours.adasyn(prepared, id_column, features, label)
     else:
         raise ValueError("method must be 'balance' or 'adasyn'")
-    balanced = materialise(balanced)  # read by the scaler and by every pass of the fit
+    balanced = materialise(balanced)  # read by the scaler and again to apply it
     scaler = scaling.standard_fit(balanced, features)
-    return scaling.standard_apply(balanced, scaler, features), scaler
+    return materialise(scaling.standard_apply(balanced, scaler, features)), scaler
 
 
 def train(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import udfs
-from millrace.functions.expressions import matrix_rows, normalise_department, planar_distance, tokens
+from millrace.functions.expressions import each_token, matrix_rows, normalise_department, planar_distance, tokens
 from millrace.operators import factorisation, neighbours, quantiles, sampling
 from millrace.plans import runs
 from millrace.plans import surrogates as S
@@ -223,7 +223,7 @@ def dept_normalise(src: S.Source) -> DataFrame:
         SELECT token, count(*) AS n FROM w WHERE token <> '' AND NOT regexp_full_match(token, '\d+') GROUP BY 1""",
 )
 def token_vocabulary(src: S.Source) -> DataFrame:
-    words = src["documents"].select(F.explode(tokens(F.col("text"), drop_numeric=True)).alias("token"))
+    words = each_token(src["documents"], [], tokens(F.col("text"), drop_numeric=True))
     return words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.expressions import each_token
 from millrace.operators import boosting, clustering, factorisation, logistic, metrics, scaling
 from millrace.plans import (
     customer_segments,
@@ -232,6 +233,7 @@ pred AS (SELECT id, s + ps log_spam_score, h + ph log_non_spam_score,
 
 def _uc04_predicted(src: S.Source) -> DataFrame:
     model, priors = spam_reviews.train(spam_reviews.preprocess(S.labelled_reviews(src), stem=False))
+    model = materialise(model)  # a stored model, as in a pipeline run: prediction reads it twice
     return spam_reviews.predict(spam_reviews.preprocess(S.reviews(src), stem=False), model, priors)
 
 
@@ -241,12 +243,12 @@ def _uc04_predicted(src: S.Source) -> DataFrame:
 )
 def uc04_tokens(src: S.Source) -> DataFrame:
     prepared = spam_reviews.preprocess(S.reviews(src), stem=False)
-    return prepared.select("id", F.posexplode("text").alias("pos", "token"))
+    return prepared.select("id", F.posexplode_outer("text").alias("pos", "token")).filter("token IS NOT NULL")
 
 
 @query("uc04_stem")
 def uc04_stem(src: S.Source) -> DataFrame:
-    stemmed = spam_reviews.preprocess(S.reviews(src), stem=True).select(F.explode("text").alias("stem"))
+    stemmed = each_token(spam_reviews.preprocess(S.reviews(src), stem=True), [], "text", "stem")
     return stemmed.groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
 
 
