@@ -37,30 +37,39 @@ def _closest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, points
     return pd.concat(found) if found else pd.DataFrame({"query_id": [], "item_id": [], "distance": []})
 
 
-def knn(items: DataFrame, queries: DataFrame, k: int, max_broadcast: int = 20_000, block_rows: int = 20_000) -> DataFrame:
+def knn(
+    items: DataFrame, queries: DataFrame, k: int, broadcast_values: int = 4_000_000, block_rows: int = 20_000
+) -> DataFrame:
     """(query_id, item_id, distance, rank) for ``items(id, vec)`` and ``queries(id, vec)``.
 
-    Up to ``max_broadcast`` queries travel to every task, and the items are read
-    in place, without a shuffle. More queries than that are cut into blocks that
-    meet blocks of items in an equi-join. Either way a task hands on at most k
-    hits per query, and the result is exact.
+    Queries of up to ``broadcast_values`` numbers in all (32 MB) travel to every
+    task, and the items are read in place, without a shuffle. More than that are
+    cut into blocks that meet blocks of items in an equi-join. Either way a task
+    hands on at most k hits per query, and the result is exact.
     """
     spark = items.sparkSession
     points = items.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
     asked = queries.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
-    head = asked.limit(max_broadcast + 1).collect()
-    if len(head) <= max_broadcast:
-        if not head:
-            return spark.createDataFrame([], _HITS + ", rank int")
+    first = asked.first()
+    if first is None:
+        return spark.createDataFrame([], _HITS + ", rank int")
+    fitting = broadcast_values // max(1, len(first["vec"]))
+    head = asked.limit(fitting + 1).collect()
+    if len(head) <= fitting:
         shared = spark.sparkContext.broadcast(
             (np.array([r["id"] for r in head], dtype=np.int64), np.array([r["vec"] for r in head], dtype=float))
         )
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             query_ids, vectors = shared.value
+            best = None
             for pdf in batches:
                 if len(pdf):
-                    yield _closest(query_ids, vectors, pdf["id"].to_numpy(), np.stack(pdf["vec"].to_numpy()), k)
+                    found = _closest(query_ids, vectors, pdf["id"].to_numpy(), np.stack(pdf["vec"].to_numpy()), k)
+                    best = found if best is None else pd.concat([best, found])
+                    best = best.sort_values(["query_id", "distance", "item_id"]).groupby("query_id").head(k)
+            if best is not None:
+                yield best
 
         hits = points.mapInPandas(scan, _HITS)
     else:

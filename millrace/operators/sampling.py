@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.session import materialise
+
 _PREFIX = 4  # hex digits: 65536 prefixes per class
-_CHUNK = 1024  # copies emitted per task row when a row is replicated
-_MAX_CLASSES = 10_000
+_CHUNK = 1024  # copies of a row emitted at one place
 
 
 def hash_order(id_column: str, seed: int) -> Column:
@@ -28,68 +29,53 @@ def _class_key(group: str | None) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("null"))
 
 
-def checked_map(rows: DataFrame, key: str, value: Column, limit: int) -> Column:
-    """A small table as one map value from a scalar subquery.
-
-    At most ``limit + 1`` rows are ever gathered; one too many fails the query.
-    """
-    entries = rows.select(F.struct(F.col(key).alias("key"), value.alias("value")).alias("e")).limit(limit + 1)
-    packed = F.map_from_entries(F.collect_list("e"))
-    too_many = F.raise_error(F.lit(f"more than {limit} entries"))
-    return entries.agg(F.when(F.count("e") <= limit, packed).otherwise(too_many).alias("m")).scalar()
-
-
 def hash_rank_cut(
     df: DataFrame, id_column: str, seed: int, group: str | None, target: Column
 ) -> tuple[DataFrame, Column, Column]:
-    """Mark the rows whose hash rank inside their class is at most ``target``.
+    """Find out which rows have a hash rank of at most ``target`` inside their class.
 
-    ``target`` may use ``class_key``, ``class_size``, ``n_classes`` and
-    ``n_rows``. Returns (df with helper columns, "surely in", "prefix to rank")
-    together with the per-class cut under the helper column ``_cut``.
+    ``target`` may use ``class_size``, ``n_classes`` and ``n_rows``. Returns (df
+    with helper columns, "ranks below the cut for sure", "has to be ranked").
+    The cut of each class is one row of a stored table, so that its size is known
+    when the join with it is planned: few classes are broadcast, very many are not.
     """
     marked = df.withColumns({"_class": _class_key(group), "_hash": hash_order(id_column, seed)})
     marked = marked.withColumn("_prefix", F.substring("_hash", 1, _PREFIX))
-    per_prefix = marked.groupBy("_class", "_prefix").agg(F.count(F.lit(1)).alias("n"))
+    per_prefix = materialise(marked.groupBy("_class", "_prefix").agg(F.count(F.lit(1)).alias("n")))
 
-    ordered = Window.partitionBy("_class").orderBy("_prefix")
-    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sizes = per_prefix.groupBy("_class").agg(F.sum("n").alias("class_size"))
     totals = sizes.agg(F.struct(F.sum("class_size").alias("n_rows"), F.count("_class").alias("n_classes"))).scalar()
+    # at most 16 ^ _PREFIX counts per class
+    upto = Window.partitionBy("_class").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     goals = per_prefix.withColumns(
         {
-            "class_key": F.col("_class"),
             "class_size": F.sum("n").over(Window.partitionBy("_class")),
             "reached": F.sum("n").over(upto),
             "n_rows": totals["n_rows"],
             "n_classes": totals["n_classes"],
         }
     ).withColumn("target", target.cast("long"))
-    cut = goals.groupBy("_class").agg(
-        F.struct(
-            F.max("target").alias("target"),
-            F.max("class_size").alias("class_size"),
-            # first prefix that reaches the target; NULL when the class is too small
-            F.min(F.when(F.col("reached") >= F.col("target"), F.col("_prefix"))).alias("prefix"),
-            F.coalesce(F.max(F.when(F.col("reached") < F.col("target"), F.col("reached"))), F.lit(0)).alias("before"),
-        ).alias("cut")
+    below = F.col("reached") < F.col("target")
+    cuts = goals.groupBy("_class").agg(
+        *[F.max(c).alias(f"_{c}") for c in ("target", "class_size", "n_rows", "n_classes")],
+        # first prefix that reaches the target; NULL when the class is too small
+        F.min(F.when(~below, F.col("_prefix"))).alias("_edge"),
+        F.coalesce(F.max(F.when(below, F.col("reached"))), F.lit(0)).alias("_before"),
     )
-    cuts = checked_map(cut, "_class", F.col("cut"), _MAX_CLASSES)
-    marked = marked.withColumn("_cut", cuts[F.col("_class")])
-    edge = F.col("_cut.prefix")
-    inside = edge.isNull() | (F.col("_prefix") < edge)
-    return marked, inside, F.col("_prefix") == edge
+    marked = marked.join(materialise(cuts), "_class")
+    inside = F.col("_edge").isNull() | (F.col("_prefix") < F.col("_edge"))
+    return marked, inside, F.coalesce(F.col("_prefix") == F.col("_edge"), F.lit(False))
 
 
 def _ranked_edge(marked: DataFrame, on_edge: Column, id_column: str) -> DataFrame:
     """Rank only the rows of the prefix in which a class reaches its target."""
     order = Window.partitionBy("_class").orderBy("_hash", id_column)
-    return marked.filter(on_edge).withColumn("_rank", F.row_number().over(order) + F.col("_cut.before"))
+    return marked.filter(on_edge).withColumn("_rank", F.row_number().over(order) + F.col("_before"))
 
 
 def _first_rows(df: DataFrame, id_column: str, seed: int, group: str | None, target: Column) -> DataFrame:
     marked, inside, on_edge = hash_rank_cut(df, id_column, seed, group, target)
-    edge = _ranked_edge(marked, on_edge, id_column).filter(F.col("_rank") <= F.col("_cut.target"))
+    edge = _ranked_edge(marked, on_edge, id_column).filter(F.col("_rank") <= F.col("_target"))
     return marked.filter(inside).select(*df.columns).unionByName(edge.select(*df.columns))
 
 
@@ -121,22 +107,18 @@ def balance_sample(df: DataFrame, id_column: str, label: str, seed: int = 42) ->
     class is repeated, and its first rows once more until the size is met.
     The result carries ``copy_no`` (1 = original).
     """
-    target = F.ceil(F.col("n_rows") / F.col("n_classes"))
-    # rows that get one copy more than the others
-    extra = F.when(target <= F.col("class_size"), target).otherwise(target % F.col("class_size"))
+    goal = F.ceil(F.col("n_rows") / F.col("n_classes"))
+    # the rows that get one copy more than the others of their class
+    extra = F.when(goal <= F.col("class_size"), goal).otherwise(goal % F.col("class_size"))
     marked, inside, on_edge = hash_rank_cut(df, id_column, seed, label, extra)
-
-    totals = df.groupBy(label).count().agg(
-        F.struct(F.sum("count").alias("rows"), F.count(F.lit(1)).alias("classes"))
-    ).scalar()
-    goal = F.ceil(totals["rows"] / totals["classes"])
-    base = F.floor(F.when(goal <= F.col("_cut.class_size"), 0).otherwise(goal / F.col("_cut.class_size")))
-    # a target of zero extra rows must not rank anything
-    no_extra = F.col("_cut.target") == 0
-    on_edge = ~no_extra & F.coalesce(on_edge, F.lit(False))
-    settled = marked.filter(~on_edge).withColumn("_copies", base + F.when(~no_extra & inside, 1).otherwise(0))
-    ranked = _ranked_edge(marked, on_edge, id_column)
-    edge = ranked.withColumn("_copies", base + (F.col("_rank") <= F.col("_cut.target")).cast("int"))
+    stored_goal = F.ceil(F.col("_n_rows") / F.col("_n_classes"))
+    size = F.col("_class_size")
+    every = F.when(stored_goal <= size, 0).otherwise(F.floor(stored_goal / size))
+    # a class whose goal is a multiple of its size has nothing to rank
+    no_extra = F.col("_target") == 0
+    settled = marked.filter(no_extra | ~on_edge).withColumn("_copies", every + F.when(~no_extra & inside, 1).otherwise(0))
+    ranked = _ranked_edge(marked, ~no_extra & on_edge, id_column)
+    edge = ranked.withColumn("_copies", every + (F.col("_rank") <= F.col("_target")).cast("int"))
 
     columns = [*df.columns, "_copies"]
     sized = settled.select(*columns).unionByName(edge.select(*columns))

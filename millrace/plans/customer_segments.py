@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import clustering, scaling
+from millrace.session import materialise
 
 SCALED = ["returnratio", "frequency"]
 COORDINATES = ["frequency", "returnratio"]
@@ -59,9 +60,15 @@ def features(tables: dict[str, DataFrame], zero_price: str = "raise") -> DataFra
 
 
 def preprocess(tables: dict[str, DataFrame], scaler: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(scaled features, scaler); the scaler is fitted only when none is given."""
+    """(scaled features, scaler); the scaler is fitted only when none is given.
+
+    Fitting reads the features once more, so they are stored first: one row per
+    customer, against a second pass over all sales lines.
+    """
     raw = features(tables)
-    scaler = scaling.minmax_fit(raw, SCALED) if scaler is None else scaler
+    if scaler is None:
+        raw = materialise(raw)
+        scaler = scaling.minmax_fit(raw, SCALED)
     return scaling.minmax_apply(raw, scaler, SCALED), scaler
 
 

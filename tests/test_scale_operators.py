@@ -54,10 +54,13 @@ def test_balance_sample_when_sizes_divide_evenly(spark):
     assert counts == {0: 25, 1: 25}
 
 
-def test_too_many_classes_fail_loudly(spark, monkeypatch):
-    monkeypatch.setattr(sampling, "_MAX_CLASSES", 2)
-    with pytest.raises(Exception, match="more than 2 entries"):
-        sampling.stratified_sample(classes(spark)[1], 0.5, "id", "c").collect()
+def test_many_classes_need_no_broadcast(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        test_balance_sample_counts_and_copies(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_repeated_rows_beyond_one_chunk(spark):
@@ -97,13 +100,13 @@ def test_row_ids_follow_the_order(spark):
     assert sorted((r.row_id, r.k) for r in got) == [(i + 1, i) for i in range(1000)]
 
 
-@pytest.mark.parametrize("max_broadcast", [0, 100])
-def test_knn_equals_brute_force(spark, max_broadcast):
+@pytest.mark.parametrize("values", [0, 1000])
+def test_knn_equals_brute_force(spark, values):
     rng = np.random.default_rng(2)
     points = np.vstack([rng.normal(size=(120, 3)), np.zeros((30, 3))])  # with many equal points
     items = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, vec array<double>").repartition(5)
     queries = items.filter("id < 20 OR id > 140")
-    got = neighbours.knn(items, queries, 4, max_broadcast=max_broadcast, block_rows=17).collect()
+    got = neighbours.knn(items, queries, 4, broadcast_values=values, block_rows=17).collect()
     found = {}
     for r in sorted(got, key=lambda r: r["rank"]):
         found.setdefault(r.query_id, []).append(r.item_id)
