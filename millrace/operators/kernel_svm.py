@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, LinearSVCModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 Projection = list[tuple[list[float], float]]
@@ -111,7 +111,20 @@ def predict(df: DataFrame, model: KernelSvm, id_column: str) -> DataFrame:
     return df.select(id_column, F.when(F.isnan(margin), None).when(margin > 0, 1).otherwise(0).alias("prediction"))
 
 
-def projection_table(df: DataFrame, model: KernelSvm) -> DataFrame:
+def projection_table(spark: SparkSession, model: KernelSvm) -> DataFrame:
     """The random part of the model as a table, one row per component."""
     rows = [(i, w, b) for i, (w, b) in enumerate(model.projection)]
-    return df.sparkSession.createDataFrame(rows, "component int, weights array<double>, offset double")
+    return spark.createDataFrame(rows, "component int, weights array<double>, offset double")
+
+
+def save(spark: SparkSession, model: KernelSvm, path: str) -> None:
+    model.classifier.write().overwrite().save(f"{path}/classifier")
+    projection_table(spark, model).coalesce(1).write.mode("overwrite").parquet(f"{path}/random")
+    spark.createDataFrame([(model.features,)], "features array<string>").write.mode("overwrite").parquet(f"{path}/columns")
+
+
+def load(spark: SparkSession, path: str) -> KernelSvm:
+    rows = spark.read.parquet(f"{path}/random").orderBy("component").collect()
+    features = spark.read.parquet(f"{path}/columns").first()["features"]
+    projection = [(list(r["weights"]), r["offset"]) for r in rows]
+    return KernelSvm(list(features), projection, LinearSVCModel.load(f"{path}/classifier"))

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from millrace.session import materialise
+
 _ACCURACY = 20_000  # the sketch's rank error is at most rows / _ACCURACY
 
 
@@ -24,9 +26,9 @@ def _bracketed_counts(df: DataFrame, keys: Sequence[str], value: str, quantiles:
     slack = 4.0 / _ACCURACY
     ends = [p for q in quantiles for p in (max(0.0, q - slack), min(1.0, q + slack))]
     data = df.select(*keys, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    sketch = data.groupBy(*keys).agg(
-        F.percentile_approx("v", ends, _ACCURACY).alias("_ends"),
-        F.count("v").alias("_rows"),
+    # stored, so that its size decides whether the raw rows have to move for the join
+    sketch = materialise(
+        data.groupBy(*keys).agg(F.percentile_approx("v", ends, _ACCURACY).alias("_ends"), F.count("v").alias("_rows"))
     )
     # too few rows for the slack to span whole ranks: such a group keeps all its values
     small = F.col("_rows") <= _ACCURACY

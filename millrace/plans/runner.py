@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.operators import clustering
+from millrace.operators import boosting, clustering, kernel_svm
 from millrace.plans import (
     customer_segments,
     device_failures,
@@ -29,6 +29,8 @@ class Run:
     """What the use cases share: input splits, output folder, log and settings.
 
     ``adjust_params`` selects the full parameter sets, as opposed to the fast ones.
+    ``suffix`` keeps the outputs of parallel serving streams apart. Stages may run
+    in different sessions: every model is stored under ``folder``.
     ``settings`` holds extra keyword arguments per use case for its training step.
     """
 
@@ -39,7 +41,6 @@ class Run:
     adjust_params: bool = True
     suffix: str = ""
     settings: dict[str, dict] = field(default_factory=dict)
-    models: dict[str, object] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         unknown = set(self.stages) - set(STAGES)
@@ -48,9 +49,12 @@ class Run:
         self.log = RunLog(self.spark, f"{self.folder}/log")
 
     def save(self, name: str, df: DataFrame) -> DataFrame:
-        """Materialise one stage of a pipeline as a table and list it."""
-        saved = replace_table(df, f"{self.folder}/{name}{self.suffix}")
-        self.log.artefact(f"{name}{self.suffix}", saved)
+        """Materialise one stage of a pipeline as a table, list it, and make it a view for SQL."""
+        if "_serve_" in name:
+            name += self.suffix
+        saved = replace_table(df, f"{self.folder}/{name}")
+        self.log.artefact(name, f"{self.folder}/{name}")
+        saved.createOrReplaceTempView(name)
         return saved
 
     def load(self, name: str) -> DataFrame:
@@ -130,13 +134,14 @@ def _uc06(run: Run) -> None:
         with run.log.step("uc06", "train"):
             prepared = run.load("uc06_train_preprocessed")
             model, scaler = device_failures.train(prepared, run.adjust_params, **run.settings.get("uc06", {}))
-            run.models["uc06"] = model
+            kernel_svm.save(run.spark, model, f"{run.folder}/uc06_model")
             run.save("uc06_scaler", scaler)
     for split in ("score", "serve"):
         if split in run.stages:
             with run.log.step("uc06", split):
                 prepared = device_failures.preprocess(run.splits(split)["failures"], split)
-                made = device_failures.predict(prepared, run.models["uc06"], run.load("uc06_scaler"))
+                model = kernel_svm.load(run.spark, f"{run.folder}/uc06_model")
+                made = device_failures.predict(prepared, model, run.load("uc06_scaler"))
                 made = run.save("uc06_score_predictions" if split == "score" else "uc06_serve_results", made)
                 if split == "score":
                     run.note(6, device_failures.score(made, run.splits("score")["failures_labels"]))
@@ -170,7 +175,8 @@ def _uc08(run: Run) -> None:
             run.save("uc08_train_preprocessed", trip_types.preprocess(tables, index, width, tables["store_dept"]))
     if "train" in run.stages:
         with run.log.step("uc08", "train"):
-            run.models["uc08"] = trip_types.train(run.load("uc08_train_preprocessed"), **fit)
+            model = trip_types.train(run.load("uc08_train_preprocessed"), **fit)
+            boosting.save(run.spark, model, f"{run.folder}/uc08_model")
     for split in ("score", "serve"):
         if split in run.stages:
             with run.log.step("uc08", split):
@@ -178,7 +184,7 @@ def _uc08(run: Run) -> None:
                 index = run.load("uc08_department_index")
                 prepared = trip_types.preprocess(tables, index, width, tables["store_dept"])
                 prepared = run.save(f"uc08_{split}_preprocessed", prepared)
-                made = trip_types.predict(prepared, run.models["uc08"])
+                made = trip_types.predict(prepared, boosting.load(run.spark, f"{run.folder}/uc08_model"))
                 made = run.save("uc08_score_predictions" if split == "score" else "uc08_serve_results", made)
                 if split == "score":
                     run.note(8, trip_types.score(made, run.splits("score")["order_labels"]))

@@ -10,10 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.quantiles import grouped_quantiles
+from millrace.sources.numbering import row_ids
+from millrace.sources.tables import size_text, stored_bytes
 
 TIMINGS = "use_case string, step string, start_time timestamp, end_time timestamp, execution_time string"
 SCORES = "usecase int, date_time timestamp, evaluation_score double"
-ARTEFACTS = "item_name string, columns array<string>, n_rows long"
+ARTEFACTS = "item_name string, columns array<string>, n_rows long, n_bytes long, size string"
+# what a snapshot numbers its rows by
+ORDER = {"timeit": ["start_time", "use_case", "step"], "score_results": ["date_time", "usecase"], "table_properties": ["item_name"]}
 
 
 def clock(seconds: Column) -> Column:
@@ -56,9 +60,11 @@ class RunLog:
     def score(self, usecase: int, value: float | None) -> None:
         self._append("score_results", [(usecase, datetime.now(timezone.utc), value)], SCORES)
 
-    def artefact(self, name: str, df: DataFrame) -> None:
-        """Columns and row count of a result. A keyed model table counts its models."""
-        self._append("table_properties", [(name, df.columns, df.count())], ARTEFACTS)
+    def artefact(self, name: str, path: str) -> None:
+        """Columns, rows and size of a stored result. A keyed model table counts its models."""
+        df = self.spark.read.parquet(path)
+        size = stored_bytes(self.spark, path)
+        self._append("table_properties", [(name, df.columns, df.count(), size, size_text(size))], ARTEFACTS)
 
     def artefacts(self, like: str | None = None, not_like: str | None = None) -> DataFrame:
         """Listed results by LIKE pattern; a backslash escapes a wildcard."""
@@ -70,9 +76,10 @@ class RunLog:
         return listed
 
     def snapshot(self, prefix: str, folder: str) -> DataFrame:
-        """Copy the three tables to ``<folder>/<prefix>_*``; returns the total run time."""
-        for table in ("timeit", "score_results", "table_properties"):
-            self.read(table).write.mode("overwrite").parquet(f"{folder}/{prefix}_{table}")
+        """Copy the three tables, with row numbers, to ``<folder>/<prefix>_*``; returns the total run time."""
+        for table, order in ORDER.items():
+            numbered = row_ids(self.read(table), order, "id")
+            numbered.write.mode("overwrite").parquet(f"{folder}/{prefix}_{table}")
         return total_time(self.spark.read.parquet(f"{folder}/{prefix}_timeit"))
 
 
@@ -116,8 +123,9 @@ def compare_scores(runs: dict[str, DataFrame], key: str = "usecase") -> DataFram
 
 
 def compare_sizes(runs: dict[str, DataFrame]) -> DataFrame:
-    """Row count of each artefact in every run."""
-    return _side_by_side(runs, ["item_name"], "n_rows", "n_rows")
+    """Size of each artefact in every run, in bytes and as text."""
+    wide = _side_by_side(runs, ["item_name"], "n_bytes", "n_bytes")
+    return wide.join(_side_by_side(runs, ["item_name"], "size", "size"), "item_name")
 
 
 def statistics(timings: DataFrame, query: str = "query", seconds: str = "seconds") -> DataFrame:

@@ -12,6 +12,21 @@ def replace_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Size of a stored table; only file names and lengths are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
+def size_text(size: int) -> str:
+    """Bytes in the largest unit that leaves at least ten of it, rounded to whole units."""
+    units = ("bytes", "kB", "MB", "GB", "TB", "PB")
+    step = 0
+    while step < len(units) - 1 and size >= 10 * 1024 ** (step + 1):
+        step += 1
+    return f"{(size + 1024**step // 2) // 1024**step} {units[step]}"
+
+
 def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

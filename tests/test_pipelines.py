@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.plans import customer_segments, payment_fraud, product_ratings, runs, store_forecast, trip_types
 from millrace.plans.runner import STAGES, USE_CASES, Run, run_all
 from millrace.sources.schemas import TABLES
+from millrace.sources.tables import size_text
 
 
 def table(spark, name, split, rows):
@@ -180,7 +181,7 @@ def test_run_is_timed_and_snapshot(spark, full_run, tmp_path):
     assert {r.use_case for r in timings.collect()} == set(USE_CASES)
     total = full_run.log.snapshot("sf1", str(tmp_path)).first()
     assert total.seconds > 0 and len(total.total) == len("00:00:00.000000")
-    assert spark.read.parquet(str(tmp_path / "sf1_score_results")).count() == 7
+    assert [r.id for r in spark.read.parquet(str(tmp_path / "sf1_score_results")).orderBy("date_time").collect()] == list(range(1, 8))
 
 
 def test_training_only_and_isolated_outputs(spark, full_run, tmp_path):
@@ -190,6 +191,14 @@ def test_training_only_and_isolated_outputs(spark, full_run, tmp_path):
         Run(spark, shop(spark, 2), str(tmp_path), stages=(*STAGES, "deploy"))
 
 
+def test_serving_alone_from_stored_models(spark, full_run):
+    again = Run(spark, shop(spark, 1), full_run.folder, stages=("serve",), suffix="_2", settings=full_run.settings)
+    run_all(again, ["uc06", "uc08", "uc10"])
+    for name in ("uc06_serve_results", "uc08_serve_results", "uc10_serve_results"):
+        first, second = full_run.load(name), full_run.load(f"{name}_2")
+        assert first.exceptAll(second).isEmpty() and first.count() == second.count()
+
+
 def test_comparisons_between_runs(spark):
     def timed(seconds):
         return spark.createDataFrame([("uc01", "train", float(seconds))], "use_case string, step string, seconds double")
@@ -201,5 +210,21 @@ def test_comparisons_between_runs(spark):
         return spark.createDataFrame([(1, x)], "usecase int, evaluation_score double")
 
     assert runs.compare_scores({"sf1": scored(0.5), "sf5": scored(0.4)}).first().sf5_to_sf1_percentage == "-20.00%"
-    sizes = {n: spark.createDataFrame([("m", ["a"], i)], runs.ARTEFACTS) for n, i in (("sf1", 3), ("sf5", 9))}
-    assert runs.compare_sizes(sizes).first()[:] == ("m", 3, 9)
+    sizes = {n: spark.createDataFrame([("m", ["a"], 1, i, f"{i} bytes")], runs.ARTEFACTS) for n, i in (("sf1", 3), ("sf5", 9))}
+    assert runs.compare_sizes(sizes).first()[:] == ("m", 3, 9, "3 bytes", "9 bytes")
+
+
+def test_size_texts():
+    texts = {0: "0 bytes", 10239: "10239 bytes", 10240: "10 kB", 626 * 1024**2: "626 MB", 3 * 1024**4: "3072 GB"}
+    assert {n: size_text(n) for n in texts} == texts
+
+
+def test_size_budget_is_optional(spark):
+    df = spark.range(100).select(F.col("id").alias("o_order_id"), (F.col("id") % 2).alias("trip_type"))
+    assert trip_types.within_budget(df, "train", 10) is df
+    assert trip_types.within_budget(df, "serve", 600_000_000).count() == 50
+    assert trip_types.within_budget(df, "train", 2_000_000_000).groupBy("trip_type").count().collect()[0]["count"] == 23
+
+
+def test_results_are_views(spark, full_run):
+    assert spark.sql("SELECT count(*) FROM uc10_serve_results WHERE prediction IS NOT NULL").first()[0] == 150
