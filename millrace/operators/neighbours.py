@@ -98,15 +98,23 @@ def _blockwise_hits(points: DataFrame, asked: DataFrame, k: int, block_rows: int
     return left.cogroup(right).applyInPandas(merge, _HITS)
 
 
-def _uniform(seed: int, *parts) -> Column:
-    """A repeatable number in [0, 1) from a hash of the parts."""
-    return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 30)) / float(1 << 30)
+def _uniform(seed: int, row: str, number: str) -> Column:
+    """A repeatable number in [0, 1): the first 32 bits of md5 of ``row-number-seed``."""
+    text = F.concat_ws("-", F.col(row).cast("string"), F.col(number).cast("string"), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def _neighbours_of_others(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k nearest other items; k + 1 are looked up, as a row is its own nearest."""
+    found = materialise(knn(items, queries, k + 1).filter("query_id <> item_id"))
+    again = Window.partitionBy("query_id").orderBy("rank")
+    return found.withColumn("rank", F.row_number().over(again)).filter(F.col("rank") <= k)
 
 
 def adasyn(
     df: DataFrame, id_column: str, features: Sequence[str], label: str, k: int = 5, seed: int = 42
 ) -> DataFrame:
-    """(features, label): all rows plus synthetic rows of class 1 up to the size of class 0.
+    """(features, label, synthetic): all rows plus synthetic rows of class 1 up to the size of class 0.
 
     A minority row gets synthetic rows in proportion to the share of majority rows
     among its k nearest neighbours; each lies between the row and one of its k
@@ -118,41 +126,28 @@ def adasyn(
         F.col(label).cast("int").alias("label"),
     )
     minority = rows.filter("label = 1").select("id", "vec")
-    # k + 1 neighbours, because every row is its own nearest neighbour
-    around = materialise(knn(rows.select("id", "vec"), minority, k + 1).filter("query_id <> item_id"))
-    around = around.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
-    around = around.filter(F.col("rank") <= k)
-    labels = rows.select(F.col("id").alias("item_id"), "label")
-    hardness = around.join(labels, "item_id").groupBy("query_id").agg(
-        F.avg((F.col("label") == 0).cast("double")).alias("r")
+    around = _neighbours_of_others(rows.select("id", "vec"), minority, k)
+    majority = rows.filter("label = 0").select(F.col("id").alias("item_id"))
+    hard = around.join(majority, "item_id").groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("hits"))
+    hard = materialise(hard)
+    missing = rows.agg(F.count_if(F.col("label") == 0) - F.count_if(F.col("label") == 1)).scalar()
+    wanted = hard.select("id", F.rint(F.col("hits") * missing / hard.agg(F.sum("hits")).scalar()).cast("long").alias("g"))
+
+    partners = (
+        _neighbours_of_others(minority, minority, k)
+        .groupBy(F.col("query_id").alias("id"))
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda x: x["item_id"]).alias("partners"))
     )
-    sizes = rows.agg(F.struct(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))).scalar()
-    norm = hardness.agg(F.sum("r")).scalar()
-    wanted = hardness.select(
-        F.col("query_id").alias("id"),
-        F.coalesce(F.rint(F.try_divide(F.col("r"), norm) * (sizes["n0"] - sizes["n1"])), F.lit(0.0)).cast("int").alias("g"),
-    ).filter("g > 0")
-
-    near = materialise(knn(minority, minority, k + 1).filter("query_id <> item_id"))
-    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
-    near = near.filter(F.col("rank") <= k)
-    partners = near.groupBy(F.col("query_id").alias("id")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda x: x["item_id"]).alias("partners")
+    pick = F.floor(_uniform(seed, "id", "no") * F.size("partners")).cast("int")
+    chosen = repeat_rows(wanted.join(partners, "id"), "g", "no", ["id"]).select(
+        "id", "no", F.col("partners")[pick].alias("partner"), _uniform(seed + 1, "id", "no").alias("step")
     )
-    chosen = (
-        repeat_rows(wanted.join(partners, "id"), "g", "no", ["id"])
-        .withColumn("pick", F.floor(_uniform(seed, "id", "no") * F.size("partners")).cast("int"))
-        .select("id", "no", F.col("partners")[F.col("pick")].alias("partner"))
-    )
-    step = _uniform(seed + 1, F.col("id"), F.col("no"))
     base = minority.select("id", F.col("vec").alias("a"))
     other = minority.select(F.col("id").alias("partner"), F.col("vec").alias("b"))
-    made = chosen.join(base, "id").join(other, "partner").withColumn("step", step)
+    made = chosen.join(base, "id").join(other, "partner")
     mixed = F.zip_with("a", "b", lambda x, y: x + (y - x) * F.col("step"))
-    synthetic = made.select(mixed.alias("vec"), F.lit(1).alias("label"))
-    everything = rows.select("vec", "label", F.lit(False).alias("synthetic")).unionByName(
-        synthetic.withColumn("synthetic", F.lit(True))
-    )
+    synthetic = made.select(mixed.alias("vec"), F.lit(1).alias("label"), F.lit(True).alias("synthetic"))
+    everything = rows.select("vec", "label", F.lit(False).alias("synthetic")).unionByName(synthetic)
     return everything.select(
         *[F.col("vec")[i].alias(c) for i, c in enumerate(features)], F.col("label").alias(label), "synthetic"
     )

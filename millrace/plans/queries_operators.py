@@ -47,13 +47,44 @@ def balance_sample(src: S.Source) -> DataFrame:
     return sampling.balance_sample(events, "event_id", "failure")
 
 
-@query("adasyn")
+_DIMENSIONS = 64
+
+
+def _draw(seed: int) -> str:
+    text = f"CAST(w.q AS VARCHAR) || '-' || CAST(no AS VARCHAR) || '-{seed}'"
+    return f"CAST(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0"
+
+
+_ADASYN_COLUMNS = ", ".join(f"round(v[{i + 1}], 5) AS e{i}" for i in range(_DIMENSIONS))
+
+
+@query(
+    "adasyn",
+    f"""WITH e AS (SELECT vec_id id, CASE WHEN label = 0 THEN 1 ELSE 0 END lab, CAST(embedding AS DOUBLE[]) v FROM embeddings),
+    d AS (SELECT m.id q, e.id i, e.lab,
+                 sqrt(list_sum(list_transform(list_zip(m.v, e.v), lambda z: pow(z[1] - z[2], 2)))) dist
+          FROM e m JOIN e ON m.id <> e.id WHERE m.lab = 1),
+    near AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, i) k FROM d),
+    hard AS (SELECT q, count(*) hits FROM near WHERE k <= 5 AND lab = 0 GROUP BY 1),
+    gap AS (SELECT count(*) FILTER (WHERE lab = 0) - count(*) FILTER (WHERE lab = 1) g FROM e),
+    w AS (SELECT q, CAST(round_even(hits * g / (SELECT sum(hits) FROM hard), 0) AS BIGINT) g FROM hard, gap),
+    same AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, i) k FROM d WHERE lab = 1),
+    partners AS (SELECT q, list(i ORDER BY k) ids FROM same WHERE k <= 5 GROUP BY 1),
+    chosen AS (SELECT w.q, ids[1 + CAST(floor({_draw(42)} * len(ids)) AS BIGINT)] partner, {_draw(43)} step
+               FROM w JOIN partners ON w.q = partners.q, range(1, 100000) t(no) WHERE no <= w.g),
+    made AS (SELECT list_transform(list_zip(a.v, b.v), lambda z: z[1] + (z[2] - z[1]) * step) v
+             FROM chosen JOIN e a ON a.id = q JOIN e b ON b.id = partner)
+    SELECT {_ADASYN_COLUMNS}, lab AS label, false AS synthetic FROM e
+    UNION ALL SELECT {_ADASYN_COLUMNS}, 1, true FROM made""",
+)
 def adasyn(src: S.Source) -> DataFrame:
-    names = [f"e{i}" for i in range(64)]
+    """Oversample embedding label 0, on all dimensions."""
+    names = [f"e{i}" for i in range(_DIMENSIONS)]
     rows = src["embeddings"].select(
         "vec_id", (F.col("label") == 0).cast("int").alias("label"), *[F.col("embedding")[i].alias(n) for i, n in enumerate(names)]
     )
-    return neighbours.adasyn(rows, "vec_id", names, "label")
+    made = neighbours.adasyn(rows, "vec_id", names, "label")
+    return made.withColumns({n: F.round(n, 5) for n in names})
 
 
 # ---------------------------------------------------------------- vectors, matrices, points

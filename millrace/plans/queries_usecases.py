@@ -498,10 +498,43 @@ def uc10_features(src: S.Source) -> DataFrame:
     return prepared.withColumns({c: F.round(c, 6) for c in payment_fraud.FEATURES})
 
 
-@query("logreg_fit")
+_NEWTON_STEPS = 8
+
+
+def _newton_sql() -> str:
+    """The fit as a chain of Newton steps: moments of one pass, then a 3 x 3 solve by cofactors."""
+    steps = ["b0 AS (SELECT 0.0::DOUBLE c0, 0.0::DOUBLE c1, 0.0::DOUBLE c2)"]
+    for i in range(1, _NEWTON_STEPS + 1):
+        steps.append(f"""m{i} AS (
+            SELECT sum(w) h00, sum(w * x) h01, sum(w * y) h02, sum(w * x * x) h11, sum(w * x * y) h12, sum(w * y * y) h22,
+                   sum(r) g0, sum(r * x) g1, sum(r * y) g2, any_value(c0) c0, any_value(c1) c1, any_value(c2) c2
+            FROM (SELECT *, p * (1 - p) w, isfraud - p r FROM (
+                SELECT business_hour_norm x, amount_norm y, isfraud, c0, c1, c2,
+                       1 / (1 + exp(-(c0 + c1 * business_hour_norm + c2 * amount_norm))) p FROM pay, b{i - 1})))""")
+        steps.append(f"""b{i} AS (
+            SELECT c0 + ((h11 * h22 - h12 * h12) * g0 + (h02 * h12 - h01 * h22) * g1 + (h01 * h12 - h02 * h11) * g2) / d c0,
+                   c1 + ((h02 * h12 - h01 * h22) * g0 + (h00 * h22 - h02 * h02) * g1 + (h01 * h02 - h00 * h12) * g2) / d c1,
+                   c2 + ((h01 * h12 - h02 * h11) * g0 + (h01 * h02 - h00 * h12) * g1 + (h00 * h11 - h01 * h01) * g2) / d c2
+            FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) d FROM m{i}))""")
+    return ", ".join(steps)
+
+
+@query(
+    "logreg_fit",
+    f"""WITH {_UC10}, {_newton_sql()}
+    SELECT CAST(term AS INTEGER) AS term, round([c0, c1, c2][term + 1], 4) AS coef FROM b{_NEWTON_STEPS}, range(3) t(term)""",
+)
 def logreg_fit(src: S.Source) -> DataFrame:
     model = payment_fraud.train(payment_fraud.preprocess(S.payments(src)))
-    return model.select(F.posexplode("coef").alias("term", "coef"), "num_iterations")
+    return model.select(F.posexplode("coef").alias("term", "coef")).withColumn("coef", F.round("coef", 4))
+
+
+@query("logreg_fit_gradient", f"""WITH {_UC10}, {_newton_sql()}
+    SELECT CAST(term AS INTEGER) AS term, round([c0, c1, c2][term + 1], 2) AS coef FROM b{_NEWTON_STEPS}, range(3) t(term)""")
+def logreg_fit_gradient(src: S.Source) -> DataFrame:
+    """The gradient method reaches the same optimum."""
+    model = payment_fraud.train(payment_fraud.preprocess(S.payments(src)), adjust_params=True)
+    return model.select(F.posexplode("coef").alias("term", "coef")).withColumn("coef", F.round("coef", 2))
 
 
 @query(

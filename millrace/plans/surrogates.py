@@ -10,15 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import size_shuffles, stored_size
+
 
 class Source:
-    """Lazily opened provided tables of one folder."""
+    """Provided tables of one folder. Opening a table makes sure the shuffles fit it."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self.sizes: dict[str, int] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self.sizes:
+            self.sizes[name] = stored_size(table)
+            size_shuffles(self.spark, sum(self.sizes.values()))
+        return table
 
 
 def lineitem(src: Source) -> DataFrame:

@@ -18,13 +18,38 @@ SQL_SETTINGS = {
 }
 
 
+# Stored input per shuffle partition. Only the needed columns, and mostly partial
+# sums of them, reach a shuffle, so a partition ends up well below this.
+INPUT_PER_PARTITION = 1 << 30
+_OWN_PARTITIONS = "spark.millrace.shuffle.partitions"
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings the operators rely on to an existing session."""
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
+    if spark.conf.get(_OWN_PARTITIONS, None) is None:
+        spark.conf.set(_OWN_PARTITIONS, spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.shuffle.partitions", spark.conf.get(_OWN_PARTITIONS))
     return spark
 
 
+def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
+    """Raise the number of shuffle partitions to fit the input; never go below the session's own.
+
+    Adaptive execution joins partitions that turn out small, so the number only
+    has to be large enough for the largest shuffle of a query.
+    """
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes // INPUT_PER_PARTITION))
+    spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return wanted
+
+
+def stored_size(df: DataFrame) -> int:
+    """Bytes of the files behind a freshly opened table, from the listing made when it was opened."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def local_session(cores: int | str = 8, app: str = "millrace") -> SparkSession:
     """A single-machine session for tests and the local benchmark."""
     builder = (
