@@ -31,13 +31,14 @@ def _class_key(group: str | None) -> Column:
 
 def hash_rank_cut(
     df: DataFrame, id_column: str, seed: int, group: str | None, target: Column
-) -> tuple[DataFrame, Column, Column]:
-    """Find out which rows have a hash rank of at most ``target`` inside their class.
+) -> tuple[DataFrame, DataFrame]:
+    """Find the hash prefix in which each class reaches its target rank.
 
     ``target`` may use ``class_size``, ``n_classes`` and ``n_rows``. Returns (df
-    with helper columns, "ranks below the cut for sure", "has to be ranked").
-    The cut of each class is one row of a stored table, so that its size is known
-    when the join with it is planned: few classes are broadcast, very many are not.
+    with class, hash and prefix, one cut per class): rows with a prefix below
+    ``_edge`` are in, rows on the edge have to be ranked, rows above it are out.
+    The cuts are a stored table, so that their size is known when the join with
+    them is planned: few classes are broadcast, very many are not.
     """
     marked = df.withColumns({"_class": _class_key(group), "_hash": hash_order(id_column, seed)})
     marked = marked.withColumn("_prefix", F.substring("_hash", 1, _PREFIX))
@@ -62,21 +63,26 @@ def hash_rank_cut(
         F.min(F.when(~below, F.col("_prefix"))).alias("_edge"),
         F.coalesce(F.max(F.when(below, F.col("reached"))), F.lit(0)).alias("_before"),
     )
-    marked = marked.join(materialise(cuts), "_class")
-    inside = F.col("_edge").isNull() | (F.col("_prefix") < F.col("_edge"))
-    return marked, inside, F.coalesce(F.col("_prefix") == F.col("_edge"), F.lit(False))
+    return marked, materialise(cuts)
 
 
-def _ranked_edge(marked: DataFrame, on_edge: Column, id_column: str) -> DataFrame:
+def _below_edge() -> Column:
+    return F.col("_edge").isNull() | (F.col("_prefix") < F.col("_edge"))
+
+
+def _ranked_edge(marked: DataFrame, cuts: DataFrame, id_column: str) -> DataFrame:
     """Rank only the rows of the prefix in which a class reaches its target."""
+    edges = cuts.filter("_target > 0 AND _edge IS NOT NULL").withColumnRenamed("_edge", "_prefix")
     order = Window.partitionBy("_class").orderBy("_hash", id_column)
-    return marked.filter(on_edge).withColumn("_rank", F.row_number().over(order) + F.col("_before"))
+    rows = marked.join(edges, ["_class", "_prefix"])
+    return rows.withColumn("_rank", F.row_number().over(order) + F.col("_before"))
 
 
 def _first_rows(df: DataFrame, id_column: str, seed: int, group: str | None, target: Column) -> DataFrame:
-    marked, inside, on_edge = hash_rank_cut(df, id_column, seed, group, target)
-    edge = _ranked_edge(marked, on_edge, id_column).filter(F.col("_rank") <= F.col("_target"))
-    return marked.filter(inside).select(*df.columns).unionByName(edge.select(*df.columns))
+    marked, cuts = hash_rank_cut(df, id_column, seed, group, target)
+    inside = marked.join(cuts, "_class").filter(_below_edge())
+    edge = _ranked_edge(marked, cuts, id_column).filter(F.col("_rank") <= F.col("_target"))
+    return inside.select(*df.columns).unionByName(edge.select(*df.columns))
 
 
 def stratified_sample(
@@ -110,14 +116,16 @@ def balance_sample(df: DataFrame, id_column: str, label: str, seed: int = 42) ->
     goal = F.ceil(F.col("n_rows") / F.col("n_classes"))
     # the rows that get one copy more than the others of their class
     extra = F.when(goal <= F.col("class_size"), goal).otherwise(goal % F.col("class_size"))
-    marked, inside, on_edge = hash_rank_cut(df, id_column, seed, label, extra)
+    marked, cuts = hash_rank_cut(df, id_column, seed, label, extra)
     stored_goal = F.ceil(F.col("_n_rows") / F.col("_n_classes"))
     size = F.col("_class_size")
     every = F.when(stored_goal <= size, 0).otherwise(F.floor(stored_goal / size))
     # a class whose goal is a multiple of its size has nothing to rank
     no_extra = F.col("_target") == 0
-    settled = marked.filter(no_extra | ~on_edge).withColumn("_copies", every + F.when(~no_extra & inside, 1).otherwise(0))
-    ranked = _ranked_edge(marked, ~no_extra & on_edge, id_column)
+    off_edge = no_extra | F.col("_edge").isNull() | (F.col("_prefix") != F.col("_edge"))
+    one_more = F.when(~no_extra & _below_edge(), 1).otherwise(0)
+    settled = marked.join(cuts, "_class").filter(off_edge).withColumn("_copies", every + one_more)
+    ranked = _ranked_edge(marked, cuts, id_column)
     edge = ranked.withColumn("_copies", every + (F.col("_rank") <= F.col("_target")).cast("int"))
 
     columns = [*df.columns, "_copies"]

@@ -310,6 +310,31 @@ def uc06_features(src: S.Source) -> DataFrame:
     return prepared.withColumns({c: F.round(c, 6) for c in device_failures.FEATURES})
 
 
+_SMART_SCALED = ", ".join(
+    f"round(CASE WHEN stddev_samp({c}) OVER () = 0 THEN 0 ELSE ({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () END, 5) AS {c}"
+    for c in device_failures.FEATURES
+)
+
+
+@query(
+    "uc06_balanced",
+    f"""WITH {_DEVICE_DAYS},
+    last AS (SELECT serial_number s, model m, max(date) ld FROM dev WHERE failure = 1 GROUP BY 1, 2),
+    f AS (SELECT dev.* EXCLUDE (failure), CASE WHEN datediff('day', date, ld) = 1 THEN 1 ELSE failure END failure
+          FROM dev JOIN last ON serial_number = s AND model = m),
+    r AS (SELECT *, row_number() OVER (PARTITION BY failure ORDER BY md5(CAST(id AS VARCHAR) || '-42'), id) k,
+                 count(*) OVER (PARTITION BY failure) n,
+                 CAST(ceil(count(*) OVER () / (SELECT count(DISTINCT failure) FROM f)) AS BIGINT) goal FROM f),
+    c AS (SELECT *, CASE WHEN goal <= n THEN CASE WHEN k <= goal THEN 1 ELSE 0 END
+                         ELSE goal // n + CASE WHEN k <= goal % n THEN 1 ELSE 0 END END copies FROM r)
+    SELECT id, CAST(failure AS INTEGER) AS failure, CAST(i AS BIGINT) AS copy_no, {_SMART_SCALED}
+    FROM c, range(1, 1000) t(i) WHERE i <= copies""",
+)
+def uc06_balanced(src: S.Source) -> DataFrame:
+    rows, _ = device_failures.balance_and_scale(device_failures.preprocess(S.device_days(src), "train"))
+    return rows.withColumns({c: F.round(c, 5) for c in device_failures.FEATURES})
+
+
 def _uc06_fit(src: S.Source):
     prepared = materialise(device_failures.preprocess(S.device_days(src), "train"))
     return device_failures.train(prepared)
