@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LinearSVC, LinearSVCModel
+from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +22,12 @@ Projection = list[tuple[list[float], float]]
 
 @dataclass
 class KernelSvm:
+    """Everything a prediction needs: a few arrays, independent of the training data's size."""
+
     features: list[str]
     projection: Projection
-    classifier: LinearSVCModel
+    coefficients: list[float]
+    intercept: float
 
 
 def random_projection(n_features: int, gamma: float, components: int, seed: int) -> Projection:
@@ -96,13 +99,14 @@ def fit(
     svc = LinearSVC(
         regParam=reg_param, tol=tol, maxIter=max_iter, weightCol="weight", standardization=False, aggregationDepth=2
     )
-    return KernelSvm(list(features), projection, svc.fit(points))
+    fitted = svc.fit(points)
+    return KernelSvm(list(features), projection, [float(c) for c in fitted.coefficients], float(fitted.intercept))
 
 
 def predict(df: DataFrame, model: KernelSvm, id_column: str) -> DataFrame:
     """(id, prediction 0/1) from the sign of the margin; NULL where a feature is NULL."""
     feature_map = _feature_map(model.projection)
-    coefficients, intercept = model.classifier.coefficients.toArray(), float(model.classifier.intercept)
+    coefficients, intercept = np.array(model.coefficients), model.intercept
 
     def margins(*columns: pa.Array) -> pa.Array:
         return pa.array(feature_map(columns) @ coefficients + intercept)
@@ -111,20 +115,20 @@ def predict(df: DataFrame, model: KernelSvm, id_column: str) -> DataFrame:
     return df.select(id_column, F.when(F.isnan(margin), None).when(margin > 0, 1).otherwise(0).alias("prediction"))
 
 
-def projection_table(spark: SparkSession, model: KernelSvm) -> DataFrame:
-    """The random part of the model as a table, one row per component."""
-    rows = [(i, w, b) for i, (w, b) in enumerate(model.projection)]
-    return spark.createDataFrame(rows, "component int, weights array<double>, offset double")
+def component_table(spark: SparkSession, model: KernelSvm) -> DataFrame:
+    """The model as a table: random weights, offset and fitted coefficient per component."""
+    rows = [(i, w, b, c) for i, ((w, b), c) in enumerate(zip(model.projection, model.coefficients))]
+    return spark.createDataFrame(rows, "component int, weights array<double>, offset double, coefficient double")
 
 
 def save(spark: SparkSession, model: KernelSvm, path: str) -> None:
-    model.classifier.write().overwrite().save(f"{path}/classifier")
-    projection_table(spark, model).coalesce(1).write.mode("overwrite").parquet(f"{path}/random")
-    spark.createDataFrame([(model.features,)], "features array<string>").write.mode("overwrite").parquet(f"{path}/columns")
+    component_table(spark, model).coalesce(1).write.mode("overwrite").parquet(f"{path}/components")
+    head = spark.createDataFrame([(model.features, model.intercept)], "features array<string>, intercept double")
+    head.coalesce(1).write.mode("overwrite").parquet(f"{path}/head")
 
 
 def load(spark: SparkSession, path: str) -> KernelSvm:
-    rows = spark.read.parquet(f"{path}/random").orderBy("component").collect()
-    features = spark.read.parquet(f"{path}/columns").first()["features"]
+    rows = spark.read.parquet(f"{path}/components").orderBy("component").collect()
+    head = spark.read.parquet(f"{path}/head").first()
     projection = [(list(r["weights"]), r["offset"]) for r in rows]
-    return KernelSvm(list(features), projection, LinearSVCModel.load(f"{path}/classifier"))
+    return KernelSvm(list(head["features"]), projection, [r["coefficient"] for r in rows], head["intercept"])

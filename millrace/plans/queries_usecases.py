@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.expressions import each_token
-from millrace.operators import boosting, clustering, factorisation, logistic, metrics, scaling
+from millrace.operators import boosting, clustering, factorisation, kernel_svm, logistic, metrics, scaling
 from millrace.plans import (
     customer_segments,
     device_failures,
@@ -198,8 +198,21 @@ def uc03_unmatched(src: S.Source) -> DataFrame:
     return store_forecast.unmatched(asked, models)
 
 
-@query("uc03_score")
+@query(
+    "uc03_score",
+    f"""WITH {_FIXED_MODEL}, seen AS (SELECT store, {_DEPT.format("dept")} dept, week(date_trunc('week', d)) w,
+                                         CAST(sum(amount) AS DOUBLE) sales FROM lines GROUP BY store, lines.dept, date_trunc('week', d))
+    SELECT round(avg(pow(ln(abs(sales - ({_FORECAST})) + 1), 2)), 6) AS msle
+    FROM seen JOIN state ON store = store_id AND dept = department_id, range(1, {HORIZON + 1}) t(h) WHERE h = w""",
+)
 def uc03_score(src: S.Source) -> DataFrame:
+    observed = store_forecast.score_input(S.store_dept_labels(src))
+    scored = store_forecast.score(observed, store_forecast.predict(_fixed_model(src), HORIZON))
+    return scored.select(F.round("msle", 6).alias("msle"))
+
+
+@query("uc03_trained_score")
+def uc03_trained_score(src: S.Source) -> DataFrame:
     model = store_forecast.train(store_forecast.weekly_sales(S.stores(src)))
     observed = store_forecast.score_input(S.store_dept_labels(src))
     return store_forecast.score(observed, store_forecast.predict(model))
@@ -336,26 +349,67 @@ def uc06_balanced(src: S.Source) -> DataFrame:
 
 
 def _uc06_fit(src: S.Source):
-    prepared = materialise(device_failures.preprocess(S.device_days(src), "train"))
-    return device_failures.train(prepared)
+    return device_failures.train(materialise(device_failures.preprocess(S.device_days(src), "train")))
 
 
 @query("uc06_train")
 def uc06_train(src: S.Source) -> DataFrame:
-    model, scaler = _uc06_fit(src)
-    weights = [(i, float(w)) for i, w in enumerate(model.classifier.coefficients)]
-    return src.spark.createDataFrame(weights, "component int, weight double")
+    model, _ = _uc06_fit(src)
+    return kernel_svm.component_table(src.spark, model).select("component", "offset", "coefficient")
+
+
+@query("uc06_trained_score")
+def uc06_trained_score(src: S.Source) -> DataFrame:
+    days = S.device_days(src)
+    return device_failures.score(device_failures.predict(days, *_uc06_fit(src)), days)
+
+
+# A fixed model of three components for the check of the prediction.
+KERNEL = kernel_svm.KernelSvm(
+    device_failures.FEATURES,
+    [
+        ([0.5, -0.2, 0.1, 0.3, -0.4, 0.2, 0.1], 0.3),
+        ([-0.3, 0.6, 0.2, -0.1, 0.2, 0.5, -0.7], 1.1),
+        ([0.2, 0.1, -0.5, 0.4, 0.3, -0.2, 0.6], 2.0),
+    ],
+    [0.8, -0.5, 0.6],
+    0.05,
+)
+_ANGLES = [" + ".join([f"({w}) * {c}" for w, c in zip(ws, KERNEL.features)] + [f"{b}"]) for ws, b in KERNEL.projection]
+_MARGIN = " + ".join(f"({c}) * sqrt(2.0 / 3) * cos({a})" for c, a in zip(KERNEL.coefficients, _ANGLES))
+_SMART_STD = ", ".join(
+    f"({c} - (SELECT avg({c}) FROM f)) / (SELECT stddev_samp({c}) FROM f) AS {c}" for c in device_failures.FEATURES
+)
+_UC06_PREDICT = f"""{_DEVICE_DAYS},
+last AS (SELECT serial_number s, model m, max(date) ld FROM dev WHERE failure = 1 GROUP BY 1, 2),
+f AS (SELECT dev.* FROM dev JOIN last ON serial_number = s AND model = m),
+scaled AS (SELECT id, failure, {_SMART_STD} FROM dev),
+made AS (SELECT id, failure, CASE WHEN {_MARGIN} + {KERNEL.intercept} > 0 THEN 1 ELSE 0 END prediction FROM scaled)
+"""
+
+
+def _uc06_predicted(src: S.Source) -> DataFrame:
+    train = materialise(device_failures.preprocess(S.device_days(src), "train"))
+    return device_failures.predict(S.device_days(src), KERNEL, scaling.standard_fit(train, device_failures.FEATURES))
 
 
-@query("uc06_predict")
+@query("uc06_predict", f"WITH {_UC06_PREDICT} SELECT id, CAST(prediction AS INTEGER) AS prediction FROM made")
 def uc06_predict(src: S.Source) -> DataFrame:
-    return device_failures.predict(S.device_days(src), *_uc06_fit(src))
+    return _uc06_predicted(src)
 
 
-@query("uc06_score")
+@query(
+    "uc06_score",
+    f"""WITH {_UC06_PREDICT}, cells AS (
+        SELECT CAST(count(*) FILTER (WHERE prediction = 1 AND failure = 1) AS DOUBLE) tp,
+               CAST(count(*) FILTER (WHERE prediction = 0 AND failure = 0) AS DOUBLE) tn,
+               CAST(count(*) FILTER (WHERE prediction = 1 AND failure = 0) AS DOUBLE) fp,
+               CAST(count(*) FILTER (WHERE prediction = 0 AND failure = 1) AS DOUBLE) fn FROM made)
+    SELECT round((tp * tn - fp * fn) / (sqrt(tp + fp) * sqrt(tp + fn) * sqrt(tn + fp) * sqrt(tn + fn)), 6) AS mcc FROM cells""",
+)
 def uc06_score(src: S.Source) -> DataFrame:
-    days = S.device_days(src)
-    return device_failures.score(device_failures.predict(days, *_uc06_fit(src)), days)
+    scored = device_failures.score(_uc06_predicted(src), S.device_days(src))
+    return scored.select(F.round("mcc", 6).alias("mcc"))
 
 
 # ---------------------------------------------------------------- use case 07
@@ -403,8 +457,8 @@ def uc07_predict(src: S.Source) -> DataFrame:
     return _uc07_predicted(src)[0]
 
 
-@query("uc07_score")
-def uc07_score(src: S.Source) -> DataFrame:
+@query("uc07_trained_score")
+def uc07_trained_score(src: S.Source) -> DataFrame:
     return product_ratings.score(*_uc07_predicted(src))
 
 
@@ -415,16 +469,26 @@ v AS (SELECT p_partkey id, [p_size / 10.0::DOUBLE, p_retailprice / 1000.0::DOUBL
 """
 
 
-@query(
-    "uc07_dot",
-    f"""WITH {_RATINGS}, {_FACTORS}, mean AS (SELECT avg(rating) m FROM ratings)
-    SELECT userid, productid, least(greatest(round_even(
-             coalesce(u.f[1] * v.f[1] + u.f[2] * v.f[2] + u.f[3] * v.f[3], m), 0), 1.0), 5.0)::DOUBLE AS prediction
-    FROM mean, ratings LEFT JOIN u ON userid = u.id LEFT JOIN v ON productid = v.id""",
-)
+_DOT = f"""{_RATINGS}, {_FACTORS}, mean AS (SELECT avg(rating) m FROM ratings),
+made AS (SELECT userid, productid, rating, least(greatest(round_even(
+           coalesce(u.f[1] * v.f[1] + u.f[2] * v.f[2] + u.f[3] * v.f[3], m), 0), 1.0), 5.0)::DOUBLE prediction
+         FROM mean, ratings LEFT JOIN u ON userid = u.id LEFT JOIN v ON productid = v.id)
+"""
+
+
+def _uc07_dot(src: S.Source) -> tuple[DataFrame, DataFrame]:
+    ratings = materialise(S.ratings(src))  # predicted, averaged and scored
+    return product_ratings.predict(ratings, (S.customer_factors(src), S.part_factors(src)), ratings), ratings
+
+
+@query("uc07_dot", f"WITH {_DOT} SELECT userid, productid, prediction FROM made")
 def uc07_dot(src: S.Source) -> DataFrame:
-    ratings = S.ratings(src)
-    return factorisation.predict(ratings, S.customer_factors(src), S.part_factors(src), ratings)
+    return _uc07_dot(src)[0]
+
+
+@query("uc07_score", f"WITH {_DOT} SELECT round(avg(abs(prediction - rating)), 6) AS mae FROM made")
+def uc07_score(src: S.Source) -> DataFrame:
+    return product_ratings.score(*_uc07_dot(src)).select(F.round("mae", 6).alias("mae"))
 
 
 @query(

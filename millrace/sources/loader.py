@@ -9,6 +9,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import configure, size_shuffles, stored_size
 from millrace.sources import checks, delimited, numbering
 from millrace.sources.schemas import FOLDERS, SPLITS, TABLES, file_name
 
@@ -74,7 +75,7 @@ def load(
 
 
 def tables(spark: SparkSession, target: str, split: str) -> dict[str, DataFrame]:
-    """The tables of a split in the latest published version."""
+    """The tables of a split in the latest published version; sizes the shuffles to them."""
     if split not in SPLITS:
         raise ValueError(f"split must be one of {', '.join(SPLITS)}")
     latest = spark.read.parquet(f"{target}/published").orderBy(F.desc("published_at")).first()
@@ -87,4 +88,5 @@ def tables(spark: SparkSession, target: str, split: str) -> dict[str, DataFrame]
             except Exception as error:
                 if "PATH_NOT_FOUND" not in str(error):
                     raise
+    size_shuffles(configure(spark), sum(stored_size(df) for df in found.values()))
     return found

@@ -103,7 +103,7 @@ def test_kernel_svm_separates_rings(spark):
     model = kernel_svm.fit(df, ["x", "y"], "label", gamma=0.5, reg_param=0.01)
     made = kernel_svm.predict(df, model, "id").join(df, "id")
     assert metrics.mcc(made, "prediction", "label").first()[0] > 0.95
-    assert kernel_svm.projection_table(spark, model).count() == 100
+    assert kernel_svm.component_table(spark, model).count() == 100
     assert kernel_svm.predict(df.withColumn("x", F.lit(None)), model, "id").filter("prediction IS NOT NULL").count() == 0
 
 
