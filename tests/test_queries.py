@@ -8,6 +8,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from millrace.plans import customer_segments
+from millrace.plans.surrogates import Source, retail
 from tools.check_oracles import multiset
 
 FOLDER = entry.SMOKE_DIR
@@ -55,5 +57,5 @@ def test_scan_reads_only_needed_columns(spark):
 
 
 def test_filters_reach_the_scan(spark):
-    plan = physical_plan(QUERIES["uc01_features"](spark, FOLDER))
+    plan = physical_plan(customer_segments.features(retail(Source(spark, FOLDER))))
     assert "EqualTo(l_returnflag,R)" in plan and "IsNotNull(o_custkey)" in plan
