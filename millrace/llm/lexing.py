@@ -16,8 +16,9 @@ _WIDE_SPACES = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x20
 @functools.cache
 def class_table() -> np.ndarray:
     """The class of every code point."""
-    kinds = {"L": LETTER, "N": NUMBER}
-    table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+    category = "".join(map(unicodedata.category, map(chr, range(sys.maxunicode + 1)))).encode()
+    major = np.frombuffer(category, np.uint8)[::2]
+    table = np.where(major == ord("L"), LETTER, np.where(major == ord("N"), NUMBER, OTHER)).astype(np.uint8)
     table[[*range(9, 14), 32, *_WIDE_SPACES]] = SPACE
     return table
 
