@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontam, mixing, packed_ids, quality, simhash, token_counts, url_filter, warc
+from millrace.llm import ann, decontam, mixing, packed_ids, quality, simhash, suffix_dedup, token_counts, url_filter, warc
 from millrace.llm.common import table
 from millrace.llm.registry import query
 
@@ -63,3 +63,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_decontam")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_nearest")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
