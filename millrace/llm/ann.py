@@ -30,7 +30,8 @@ EVERY = 50
 SHARD = 4096
 QUERIES = 4096  # per block
 DEGREE = 24
-BEAM = 48
+BEAM = 64  # while the graph is built
+SEARCH_BEAM = 128
 ALPHA = 1.2
 BATCH = 512
 _GRAPH = "shard int, node int, ids array<long>, vector array<double>, edges array<int>"
@@ -188,7 +189,7 @@ def index(vectors: DataFrame, keep: int = K + 1, shard: int = SHARD) -> DataFram
     return stored(dealt.groupBy("shard").applyInPandas(run, _GRAPH), "graph")
 
 
-def search(graph: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM) -> DataFrame:
+def search(graph: DataFrame, queries: DataFrame, k: int = K, beam: int = SEARCH_BEAM) -> DataFrame:
     """query_id, rank, vec_id, score for queries (query_id, vector): the k nearest found in all shards."""
     shards = graph.agg(F.max("shard")).first()[0]
     if shards is None:
