@@ -73,7 +73,8 @@ def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, window: int = WINDO
     ours = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
     theirs = items.select(F.col("item_id").alias("_item"), words(F.col("text")).alias("_words"))
     laid = found.join(ours, F.col("doc_id").eqNullSafe(F.col("_doc"))).join(theirs, F.col("item_id").eqNullSafe(F.col("_item")))
-    laid = laid.select("doc_id", "item_id", "shift", words(F.col("_text")).alias("d"), F.col("_words").alias("i"))
+    # Stored, as the words would otherwise be split again for every place that is compared; only hits are left.
+    laid = stored(laid.select("doc_id", "item_id", "shift", words(F.col("_text")).alias("d"), F.col("_words").alias("i")), "laid")
     matched, length = _best_window(F.col("d"), F.col("i"), F.col("shift"), window)
     scored = laid.select("doc_id", "item_id", matched.alias("matched"), length.alias("window"))
     return scored.where(F.col("matched") >= F.ceil(F.col("window") * share - 1e-9)).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("window").alias("window"))
