@@ -321,6 +321,7 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
     """id, dk, ranges: the repeated windows of every document that has any."""
     found = anchors(rows)
     keys = found.groupBy("h").agg(F.count("*").alias("c"), F.min("d").alias("low"), F.max("d").alias("high")).where("c > 1").select("h", (F.col("low") != F.col("high")).alias("mixed"))
+    keys = stored(keys, "keys")  # apart from the aggregate's placement, the join's hot partitions can be split
     marked = stored(found.select("id", "dk", "h", "at", "off", "n").join(keys, "h"), "anchors")
     alike = marked.where("NOT mixed").select("id", "dk", (F.col("at").cast("long") * 256 + F.col("n")).alias("range"))
     return alike.unionByName(told_apart(rows, marked.where("mixed"))).groupBy("id", "dk").agg(F.collect_list("range").alias("ranges"))
