@@ -54,6 +54,15 @@ def nodes(rows: DataFrame, keep: int) -> DataFrame:
     return rows.distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep).groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
+def _again(names: np.ndarray) -> np.ndarray:
+    """Where a row lists a node that it has listed before."""
+    order = np.argsort(names, 1, kind="stable")
+    ranked = np.take_along_axis(names, order, 1)
+    again = np.zeros(names.shape, bool)
+    np.put_along_axis(again, order[:, 1:], ranked[:, 1:] == ranked[:, :-1], 1)
+    return again
+
+
 def beam_search(unit: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarray, beam: int, upto: int) -> tuple[np.ndarray, np.ndarray]:
     """Greedy beam search of many queries in step; nodes found and their distances, nearest first.
 
@@ -75,7 +84,6 @@ def beam_search(unit: np.ndarray, edges: np.ndarray, entry: int, queries: np.nda
         done[live, at] = True
         near = edges[found[live, at]]
         fresh = (near >= 0) & ~seen[live[:, None], np.maximum(near, 0)]
-        # A node listed twice counts once.
         rows, cols = np.nonzero(fresh)
         seen[live[rows], near[rows, cols]] = True
         distance = np.full(near.shape, np.inf, np.float32)
@@ -90,13 +98,7 @@ def beam_search(unit: np.ndarray, edges: np.ndarray, entry: int, queries: np.nda
 
 def robust_prune(unit: np.ndarray, points: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """Of each point's candidates (-1: none), up to ``degree`` that no kept one is nearer to by the factor alpha."""
-    bad = (candidates < 0) | (candidates == points[:, None])
-    # A candidate listed twice counts once.
-    order = np.argsort(candidates, 1, kind="stable")
-    ranked = np.take_along_axis(candidates, order, 1)
-    twice = np.zeros_like(bad)
-    np.put_along_axis(twice, order[:, 1:], ranked[:, 1:] == ranked[:, :-1], 1)
-    bad |= twice
+    bad = (candidates < 0) | (candidates == points[:, None]) | _again(candidates)
     vectors = unit[np.maximum(candidates, 0)]
     away = np.where(bad, np.inf, 1 - np.einsum("ij,ikj->ik", unit[points], vectors))
     line = np.arange(len(points))
@@ -150,6 +152,7 @@ def _link_back(unit: np.ndarray, edges: np.ndarray, points: np.ndarray, kept: np
         offer[:, :degree] = edges[ends[some]]
         for row, (a, c) in enumerate(zip(first[some].tolist(), counts[some].tolist(), strict=True)):
             offer[row, degree : degree + c] = source[a : a + c]
+        offer[_again(offer)] = -1
         room = (offer >= 0).sum(1) <= degree
         packed = np.take_along_axis(offer, np.argsort(offer < 0, 1, kind="stable"), 1)[:, :degree]
         if not room.all():
