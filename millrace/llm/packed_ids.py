@@ -35,7 +35,7 @@ END = 2
 BLOCK = 1 << 14
 MAGIC = b"MRPK"
 _SPACE = "\u0120"  # how byte-level vocabularies spell a space
-MOST_WORDS = 1_000_000  # words remembered by a worker before it starts anew
+MOST_WORDS = 600_000  # words remembered by a worker before it starts anew
 PIECE = 6 << 20  # bytes of text encoded at a time
 
 
