@@ -94,18 +94,6 @@ def stratified_sample(
     return _first_rows(df, id_column, seed, group, F.ceil(F.lit(float(proportion)) * F.col("class_size")))
 
 
-def size_budget_proportion(table_bytes: int, budget_bytes: int | None = None) -> float:
-    """Share of a table that fits a byte budget.
-
-    Without a budget, a table of 1 GB or more is cut to 90 % of 1 GB; with one,
-    a table above the budget is cut to the budget.
-    """
-    default_budget, headroom = 1_000_000_000, 0.9
-    if budget_bytes is None:
-        return 1.0 if table_bytes < default_budget else default_budget / table_bytes * headroom
-    return 1.0 if table_bytes < budget_bytes else budget_bytes / table_bytes
-
-
 def balance_sample(df: DataFrame, id_column: str, label: str, seed: int = 42) -> DataFrame:
     """Give every class the same size, about (rows / classes).
 

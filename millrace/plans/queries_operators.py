@@ -409,10 +409,8 @@ j AS (SELECT a.use_case, a.step, a.secs s1, b.secs s5, c.secs s10, d.secs s15
 
 
 def _clock_sql(c: str) -> str:
-    return (
-        f"printf('%02d:%02d:%02d.%06d', CAST(floor({c} / 3600) AS BIGINT), CAST(floor({c} / 60) AS BIGINT) % 60, "
-        f"CAST(floor({c}) AS BIGINT) % 60, CAST(round(({c} - floor({c})) * 1000000) AS BIGINT))"
-    )
+    micros = f"CAST(round({c} * 1000000) AS BIGINT)"
+    return f"printf('%02d:%02d:%02d.%06d', {micros} // 3600000000, {micros} // 60000000 % 60, {micros} // 1000000 % 60, {micros} % 1000000)"
 
 
 _RATIOS = ", ".join(

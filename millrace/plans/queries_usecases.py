@@ -508,17 +508,17 @@ def uc07_all_pairs(src: S.Source) -> DataFrame:
 
 # ---------------------------------------------------------------- use case 08
 
-BRANDS = 25
+_BRANDS = 25  # brands of the provided parts; the query takes its width from the data
 _DAYS_SQL = ", ".join(
     f"CASE WHEN isodow(o_orderdate) = {i + 1} THEN 1 ELSE 0 END AS {d}" for i, d in enumerate(trip_types.WEEKDAYS)
 )
-_DEPTS_SQL = ", ".join(f"CAST(sum(CASE WHEN dept_id = {i} THEN q ELSE 0 END) AS BIGINT) AS dept_{i}" for i in range(1, BRANDS + 1))
+_DEPTS_SQL = ", ".join(f"CAST(sum(CASE WHEN dept_id = {i} THEN q ELSE 0 END) AS BIGINT) AS dept_{i}" for i in range(1, _BRANDS + 1))
 
 
 def _uc08_prepared(src: S.Source) -> DataFrame:
     tables = S.baskets(src)
-    index = trip_types.department_index(tables["store_dept"], BRANDS)
-    return trip_types.preprocess(tables, index, BRANDS, tables["store_dept"])
+    index = trip_types.department_index(tables["store_dept"])
+    return trip_types.preprocess(tables, index, tables["store_dept"])
 
 
 @query(

@@ -166,13 +166,12 @@ def _uc07(run: Run) -> None:
 
 
 def _uc08(run: Run) -> None:
-    width = run.settings.get("uc08", {}).get("width", trip_types.DEPARTMENTS)
-    fit = {k: v for k, v in run.settings.get("uc08", {}).items() if k != "width"}
+    fit = run.settings.get("uc08", {})
     if "preprocess" in run.stages:
         with run.log.step("uc08", "preprocess (train)"):
             tables = run.splits("train")
-            index = run.save("uc08_department_index", trip_types.department_index(tables["store_dept"], width))
-            run.save("uc08_train_preprocessed", trip_types.preprocess(tables, index, width, tables["store_dept"]))
+            index = run.save("uc08_department_index", trip_types.department_index(tables["store_dept"]))
+            run.save("uc08_train_preprocessed", trip_types.preprocess(tables, index, tables["store_dept"]))
     if "train" in run.stages:
         with run.log.step("uc08", "train"):
             model = trip_types.train(run.load("uc08_train_preprocessed"), **fit)
@@ -182,7 +181,7 @@ def _uc08(run: Run) -> None:
             with run.log.step("uc08", split):
                 tables = run.splits(split)
                 index = run.load("uc08_department_index")
-                prepared = trip_types.preprocess(tables, index, width, tables["store_dept"])
+                prepared = trip_types.preprocess(tables, index, tables["store_dept"])
                 prepared = run.save(f"uc08_{split}_preprocessed", prepared)
                 made = trip_types.predict(prepared, boosting.load(run.spark, f"{run.folder}/uc08_model"))
                 made = run.save("uc08_score_predictions" if split == "score" else "uc08_serve_results", made)

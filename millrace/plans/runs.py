@@ -22,9 +22,9 @@ ORDER = {"timeit": ["start_time", "use_case", "step"], "score_results": ["date_t
 
 def clock(seconds: Column) -> Column:
     """Seconds as HH:MM:SS.ffffff; hours are not cut at a day."""
-    whole = F.floor(seconds)
-    micros = F.round((seconds - whole) * 1_000_000).cast("long")
-    return F.format_string("%02d:%02d:%02d.%06d", F.floor(whole / 3600), F.floor(whole / 60) % 60, whole % 60, micros)
+    micros = F.round(seconds * 1_000_000).cast("long")  # rounded before it is split, so a second can be carried
+    whole = F.floor(micros / 1_000_000)
+    return F.format_string("%02d:%02d:%02d.%06d", F.floor(whole / 3600), F.floor(whole / 60) % 60, whole % 60, micros % 1_000_000)
 
 
 def elapsed_seconds(start: Column, end: Column) -> Column:

@@ -20,7 +20,7 @@ SQL_SETTINGS = {
 
 # Stored input per shuffle partition. Only the needed columns, and mostly partial
 # sums of them, reach a shuffle, so a partition ends up well below this.
-INPUT_PER_PARTITION = 1 << 30
+INPUT_PER_PARTITION = 1 << 28
 _OWN_PARTITIONS = "spark.millrace.shuffle.partitions"
 
 
@@ -56,7 +56,7 @@ def local_session(cores: int | str = 8, app: str = "millrace") -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores) if str(cores).isdigit() else "8")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")

@@ -15,6 +15,8 @@ DELIMITERS = (",", ";", "\t", "|")
 # header width -> a row with one field more has its fields 10 and 11 joined
 REPAIRED_WIDTHS = (12, 13)
 SPLIT_FIELD = 10
+TRUE_WORDS = ("t", "true", "1", "y", "yes", "on")
+FALSE_WORDS = ("f", "false", "0", "n", "no", "off")
 
 _ABSENT = "\u0001"  # stands for "no value at all", so an empty field stays distinguishable
 
@@ -70,20 +72,25 @@ def read_text_columns(
 ) -> DataFrame:
     """All columns as text, lower-cased header names, plus ``_order`` (see load_order).
 
-    Bytes that are not UTF-8 become U+FFFD, and are dropped unless ``keep_bad_bytes``.
+    Bytes that are not UTF-8 become U+FFFD, and are dropped unless ``keep_bad_bytes``. Quoted line
+    breaks belong to their field, so a file is read by one task and files in parallel. A row with more
+    or fewer fields than the header stops the load, unless it is of the width that ``repair`` mends.
     """
     header = first_line(spark, path)
     delimiter = detect_delimiter(header)
     names = [n.strip().lower() for n in next(csv.reader([header], delimiter=delimiter))]
     repair = repair and len(names) in REPAIRED_WIDTHS
-    read_as = [*names, "_extra"] if repair else names
+    read_as = [*names, "_extra"] if repair else [*names, "_corrupt"]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in read_as])
     rows = spark.read.csv(
         path, schema=schema, sep=delimiter, header=True, quote='"', escape='"', encoding="UTF-8", nullValue=_ABSENT,
-        emptyValue="", mode="PERMISSIVE",
+        emptyValue="", mode="PERMISSIVE", multiLine=True, columnNameOfCorruptRecord="_corrupt",
     ).select("*", load_order().alias("_order"))
     if repair:
         rows = _repair(rows, names)
+    else:
+        wrong = F.raise_error(F.concat(F.lit(f"{path}: a row has not {len(names)} fields: "), F.col("_corrupt")))
+        rows = rows.withColumn(names[0], F.when(F.col("_corrupt").isNotNull(), wrong.cast("string")).otherwise(F.col(names[0]))).drop("_corrupt")
     cleaned = {n: F.col(n) if keep_bad_bytes else F.regexp_replace(n, "\ufffd", "") for n in names}
     return rows.withColumns({n: F.when(c != "", c) for n, c in cleaned.items()})
 
@@ -106,7 +113,11 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
             return F.lit(None).cast(f.dataType).alias(f.name)
         text = F.col(f.name)
         if isinstance(f.dataType, T.BooleanType):
-            return F.lower(text).isin("t", "true", "1", "y", "yes", "on").alias(f.name)
+            word = F.lower(F.trim(text))
+            bad = F.raise_error(F.concat(F.lit(f"{f.name} is no boolean: "), text)).cast("boolean")
+            return (
+                F.when(text.isNull(), F.lit(None).cast("boolean")).when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False).otherwise(bad)
+            ).alias(f.name)
         return text.cast(f.dataType).alias(f.name)
 
     return df.select(*[column(f) for f in schema])

@@ -128,3 +128,31 @@ def test_replace_and_append(spark, tmp_path):
     assert tables.replace_table(spark.range(3).toDF("id"), path).count() == 3
     tables.append_rows(spark.range(2).toDF("id"), path)
     assert spark.read.parquet(path).count() == 5
+
+
+def _file(tmp_path, text):
+    path = tmp_path / "marketplace.csv"
+    path.write_text(text)
+    return str(path)
+
+
+def test_quoted_line_breaks_stay_in_their_field(spark, tmp_path):
+    rows = delimited.read_text_columns(spark, _file(tmp_path, 'a,b\n"x\ny",1\nz,2\n'))
+    assert sorted((r.a, r.b) for r in rows.collect()) == [("x\ny", "1"), ("z", "2")]
+
+
+@pytest.mark.parametrize("row", ["1,2,3", "1"])
+def test_a_row_of_another_width_stops_the_load(spark, tmp_path, row):
+    rows = delimited.read_text_columns(spark, _file(tmp_path, f"a,b\n1,2\n{row}\n"))
+    with pytest.raises(Exception, match="has not 2 fields"):
+        rows.collect()
+
+
+def test_booleans_are_true_or_false_or_an_error(spark):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("flag", T.BooleanType())])
+    words = spark.createDataFrame([("True",), ("off",), (None,)], "flag string")
+    assert [r.flag for r in delimited.conform(words, schema).collect()] == [True, False, None]
+    with pytest.raises(Exception, match="no boolean"):
+        delimited.conform(spark.createDataFrame([("maybe",)], "flag string"), schema).collect()

@@ -89,13 +89,27 @@ def test_baskets_keep_and_drop_the_right_orders(spark):
                                           "li_order_id int, li_product_id int, quantity int, price double"),
     }
     store_dept = spark.createDataFrame([(1, "b"), (2, "a"), (2, "b")], "store int, department string")
-    index = trip_types.department_index(store_dept, 1)
-    assert [tuple(r) for r in index.collect()] == [("a", 1)]
-    got = {r.o_order_id: r for r in trip_types.preprocess(t, index, 2, store_dept).collect()}
+    index = trip_types.department_index(store_dept)
+    assert sorted(tuple(r) for r in index.collect()) == [("a", 1), ("b", 2)]
+    got = {r.o_order_id: r for r in trip_types.preprocess(t, index, store_dept).collect()}
     assert set(got) == {1, 2}  # order 3 buys in no listed department
     assert (got[1].scan_count_abs_sum, got[1].dept_1, got[1].dept_2, got[1].sunday) == (8, 1, 0, 1)
-    assert (got[2].dept_1, got[2].monday) == (0, 1)  # "b" is listed but beyond the index
-    assert set(r.o_order_id for r in trip_types.preprocess(t, index, 2).collect()) == {1}
+    assert (got[2].dept_1, got[2].dept_2, got[2].monday) == (0, 3, 1)
+    only_a = index.where("dept_id = 1")  # fitted on a split that had no "b"
+    assert [r.department for r in trip_types.unseen_departments(store_dept, only_a).collect()] == ["b"]
+    assert set(r.o_order_id for r in trip_types.preprocess(t, only_a).collect()) == {1}
+
+
+def test_every_department_gets_a_column(spark):
+    names = [f"d{k:03d}" for k in range(80)]
+    index = trip_types.department_index(spark.createDataFrame([(1, n) for n in names] + [(2, None)], "store int, department string"))
+    t = {
+        "order": orders(spark, [(k, 1, None, dt.date(2024, 6, 2), 1) for k in range(80)]),
+        "product": spark.createDataFrame([(k, "n", n) for k, n in enumerate(names)], "p_product_id int, name string, department string"),
+        "lineitem": spark.createDataFrame([(k, k, k + 1, 1.0) for k in range(80)], "li_order_id int, li_product_id int, quantity int, price double"),
+    }
+    got = {r.o_order_id: r for r in trip_types.preprocess(t, index).collect()}
+    assert all(got[k][f"dept_{k + 1}"] == k + 1 for k in range(80))
 
 
 def shop(spark, seed):
@@ -157,7 +171,7 @@ def conform(spark, rows, schema):
 
 @pytest.fixture(scope="module")
 def full_run(spark, tmp_path_factory):
-    settings = {"uc06": {"max_iter": 20}, "uc07": {"rank": 3, "iterations": 5}, "uc08": {"rounds": 1, "max_depth": 3, "width": 3}}
+    settings = {"uc06": {"max_iter": 20}, "uc07": {"rank": 3, "iterations": 5}, "uc08": {"rounds": 1, "max_depth": 3}}
     run = Run(spark, shop(spark, 1), str(tmp_path_factory.mktemp("run")), settings=settings)
     return run_all(run)
 
@@ -219,12 +233,5 @@ def test_size_texts():
     assert {n: size_text(n) for n in texts} == texts
 
 
-def test_size_budget_is_optional(spark):
-    df = spark.range(100).select(F.col("id").alias("o_order_id"), (F.col("id") % 2).alias("trip_type"))
-    assert trip_types.within_budget(df, "train", 10) is df
-    assert trip_types.within_budget(df, "serve", 600_000_000).count() == 50
-    assert trip_types.within_budget(df, "train", 2_000_000_000).groupBy("trip_type").count().collect()[0]["count"] == 23
-
-
 def test_results_are_views(spark, full_run):
     assert spark.sql("SELECT count(*) FROM uc10_serve_results WHERE prediction IS NOT NULL").first()[0] == 150

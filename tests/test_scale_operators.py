@@ -70,13 +70,6 @@ def test_repeated_rows_beyond_one_chunk(spark):
     assert found == {"a": (5000, 1, 5000), "c": (1, 1, 1)}
 
 
-def test_size_budget():
-    assert sampling.size_budget_proportion(999_999_999) == 1.0
-    assert sampling.size_budget_proportion(2_000_000_000) == pytest.approx(0.45)
-    assert sampling.size_budget_proportion(600_000_000, 300_000_000) == 0.5
-    assert sampling.size_budget_proportion(100, 300_000_000) == 1.0
-
-
 @pytest.mark.parametrize("accuracy", [50, 20_000])
 def test_quantiles_match_numpy(spark, monkeypatch, accuracy):
     monkeypatch.setattr(quantiles, "_ACCURACY", accuracy)
