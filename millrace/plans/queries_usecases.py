@@ -18,6 +18,7 @@ from millrace.plans import (
 )
 from millrace.plans import surrogates as S
 from millrace.plans.registry import query
+from millrace.plans.stem_sql import stems
 from millrace.session import materialise
 
 # ---------------------------------------------------------------- use case 01
@@ -220,11 +221,13 @@ def uc03_trained_score(src: S.Source) -> DataFrame:
 
 # ---------------------------------------------------------------- use case 04
 
-_TOKENS = r"""
+_WORDS = r"""
 words AS (SELECT doc_id id, unnest(string_split(lower(regexp_replace(text, '[^a-zA-Z0-9\s]', '', 'g')), ' ')) token,
                  generate_subscripts(string_split(lower(regexp_replace(text, '[^a-zA-Z0-9\s]', '', 'g')), ' '), 1) ix
           FROM documents),
-tok AS (SELECT id, token, ix FROM words WHERE token <> '')
+"""
+_TOKENS = f"""{_WORDS}{stems("words")},
+tok AS (SELECT id, stem token, ix FROM words JOIN stems ON words.token = stems.token WHERE words.token <> '')
 """
 _UC04_MODEL = f"""{_TOKENS},
 counts AS (SELECT token, count(*) FILTER (WHERE toxic = 1) s, count(*) FILTER (WHERE toxic = 0) h
@@ -245,9 +248,10 @@ pred AS (SELECT id, s + ps log_spam_score, h + ph log_non_spam_score,
 
 
 def _uc04_predicted(src: S.Source) -> DataFrame:
-    model, priors = spam_reviews.train(spam_reviews.preprocess(S.labelled_reviews(src), stem=False))
-    model = materialise(model)  # a stored model, as in a pipeline run: prediction reads it twice
-    return spam_reviews.predict(spam_reviews.preprocess(S.reviews(src), stem=False), model, priors)
+    model, priors = spam_reviews.train(spam_reviews.preprocess(S.labelled_reviews(src)))
+    # stored, as in a pipeline run: prediction reads both twice
+    model, prepared = materialise(model), materialise(spam_reviews.preprocess(S.reviews(src)))
+    return spam_reviews.predict(prepared, model, priors)
 
 
 @query(
@@ -255,19 +259,19 @@ def _uc04_predicted(src: S.Source) -> DataFrame:
     f"WITH {_TOKENS} SELECT id, token, CAST(row_number() OVER (PARTITION BY id ORDER BY ix) - 1 AS INTEGER) AS pos FROM tok",
 )
 def uc04_tokens(src: S.Source) -> DataFrame:
-    prepared = spam_reviews.preprocess(S.reviews(src), stem=False)
+    prepared = spam_reviews.preprocess(S.reviews(src))
     return prepared.select("id", F.posexplode_outer("text").alias("pos", "token")).filter("token IS NOT NULL")
 
 
-@query("uc04_stem")
+@query("uc04_stem", f"WITH {_TOKENS} SELECT token AS stem, count(*) AS n FROM tok GROUP BY 1")
 def uc04_stem(src: S.Source) -> DataFrame:
-    stemmed = each_token(spam_reviews.preprocess(S.reviews(src), stem=True), [], "text", "stem")
+    stemmed = each_token(spam_reviews.preprocess(S.reviews(src)), [], "text", "stem")
     return stemmed.groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("uc04_model", f"WITH {_UC04_MODEL} SELECT token, spam_prob, non_spam_prob FROM model")
 def uc04_model(src: S.Source) -> DataFrame:
-    return spam_reviews.train(spam_reviews.preprocess(S.labelled_reviews(src), stem=False))[0]
+    return spam_reviews.train(spam_reviews.preprocess(S.labelled_reviews(src)))[0]
 
 
 @query(
@@ -433,13 +437,9 @@ def matrix_dims(src: S.Source) -> DataFrame:
     return factorisation.matrix_dims(S.ratings(src), "userid", "productid")
 
 
-# The fast parameter set; fewer sweeps keep the registered query short.
-_ALS = {"adjust_params": False, "iterations": 5}
-
-
 @query("uc07_train")
 def uc07_train(src: S.Source) -> DataFrame:
-    users, items = product_ratings.train(product_ratings.preprocess(S.ratings(src)), **_ALS)
+    users, items = product_ratings.train(product_ratings.preprocess(S.ratings(src)))
     side = F.lit("user").alias("side")
     norm = F.aggregate("features", F.lit(0.0), lambda t, x: t + x * x)
     return users.select(side, "id", F.sqrt(norm).alias("norm")).unionByName(
@@ -449,7 +449,7 @@ def uc07_train(src: S.Source) -> DataFrame:
 
 def _uc07_predicted(src: S.Source) -> tuple[DataFrame, DataFrame]:
     ratings = materialise(product_ratings.preprocess(S.ratings(src)))
-    return product_ratings.predict(ratings, product_ratings.train(ratings, **_ALS), ratings), ratings
+    return product_ratings.predict(ratings, product_ratings.train(ratings), ratings), ratings
 
 
 @query("uc07_predict")
