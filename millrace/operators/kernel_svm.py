@@ -7,6 +7,7 @@ model predicts the same on every cluster.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -100,6 +101,8 @@ def fit(
         regParam=reg_param, tol=tol, maxIter=max_iter, weightCol="weight", standardization=False, aggregationDepth=2
     )
     fitted = svc.fit(points)
+    if fitted.summary().totalIterations >= max_iter:
+        warnings.warn(f"the fit stopped after {max_iter} steps, before its tolerance of {tol}", stacklevel=2)
     return KernelSvm(list(features), projection, [float(c) for c in fitted.coefficients], float(fitted.intercept))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,7 @@ from millrace.operators.sampling import repeat_rows
 from millrace.session import materialise
 
 _HITS = "query_id long, item_id long, distance double"
+_CELLS = 1 << 24  # numbers of the points that a step of queries may gather
 
 
 def nearest(items: DataFrame, id_column: str, vector: str, query: Sequence[float], k: int = 5) -> DataFrame:
@@ -26,54 +27,37 @@ def nearest(items: DataFrame, id_column: str, vector: str, query: Sequence[float
 
 
 def _closest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int) -> pd.DataFrame:
-    """Per query the k nearest of ``points``; ties go to the smaller id."""
+    """Per query the k nearest of ``points``; ties go to the smaller id.
+
+    A matrix product finds the points that may be among them; their distances are then taken exactly.
+    """
     found = []
-    for qid, q in zip(query_ids, queries):
-        gaps = points - q
+    lengths, asked = np.einsum("ij,ij->i", points, points), np.einsum("ij,ij->i", queries, queries)
+    slack = 1e-12 * points.shape[1] * (lengths.max(initial=0.0) + asked.max(initial=0.0))
+    step = max(1, _CELLS // max(1, points.size))
+    for at in range(0, len(queries), step):
+        q = queries[at : at + step]
+        about = asked[at : at + step, None] - 2 * (q @ points.T) + lengths
+        bound = np.partition(about, k - 1, axis=1)[:, k - 1] if len(points) > k else about.max(axis=1)
+        which, near = np.nonzero(about <= bound[:, None] + slack)
+        gaps = points[near] - q[which]
         d = np.sqrt(np.einsum("ij,ij->i", gaps, gaps))
-        near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-        near = near[np.lexsort((ids[near], d[near]))][:k]
-        found.append(pd.DataFrame({"query_id": qid, "item_id": ids[near], "distance": d[near]}))
+        order = np.lexsort((ids[near], d, which))
+        which, near, d = which[order], near[order], d[order]
+        keep = np.arange(len(which)) - np.searchsorted(which, which) < k
+        found.append(pd.DataFrame({"query_id": query_ids[at + which[keep]], "item_id": ids[near[keep]], "distance": d[keep]}))
     return pd.concat(found) if found else pd.DataFrame({"query_id": [], "item_id": [], "distance": []})
 
 
-def knn(
-    items: DataFrame, queries: DataFrame, k: int, broadcast_values: int = 4_000_000, block_rows: int = 20_000
-) -> DataFrame:
+def knn(items: DataFrame, queries: DataFrame, k: int, block_rows: int = 20_000) -> DataFrame:
     """(query_id, item_id, distance, rank) for ``items(id, vec)`` and ``queries(id, vec)``.
 
-    Queries of up to ``broadcast_values`` numbers in all (32 MB) travel to every
-    task, and the items are read in place, without a shuffle. More than that are
-    cut into blocks that meet blocks of items in an equi-join. Either way a task
-    hands on at most k hits per query, and the result is exact.
+    Blocks of queries meet blocks of items in an equi-join on the block pair; a task hands on at
+    most k hits per query, and the result is exact.
     """
-    spark = items.sparkSession
     points = items.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
     asked = queries.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
-    first = asked.first()
-    if first is None:
-        return spark.createDataFrame([], _HITS + ", rank int")
-    fitting = broadcast_values // max(1, len(first["vec"]))
-    head = asked.limit(fitting + 1).collect()
-    if len(head) <= fitting:
-        shared = spark.sparkContext.broadcast(
-            (np.array([r["id"] for r in head], dtype=np.int64), np.array([r["vec"] for r in head], dtype=float))
-        )
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            query_ids, vectors = shared.value
-            best = None
-            for pdf in batches:
-                if len(pdf):
-                    found = _closest(query_ids, vectors, pdf["id"].to_numpy(), np.stack(pdf["vec"].to_numpy()), k)
-                    best = found if best is None else pd.concat([best, found])
-                    best = best.sort_values(["query_id", "distance", "item_id"]).groupby("query_id").head(k)
-            if best is not None:
-                yield best
-
-        hits = points.mapInPandas(scan, _HITS)
-    else:
-        hits = _blockwise_hits(points, asked, k, block_rows)
+    hits = _blockwise_hits(points, asked, k, block_rows)
     best = Window.partitionBy("query_id").orderBy("distance", "item_id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 

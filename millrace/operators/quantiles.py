@@ -22,7 +22,12 @@ _ACCURACY = 20_000  # the sketch's rank error is at most rows / _ACCURACY
 
 
 def _bracketed_counts(df: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float]) -> DataFrame:
-    """(keys, v, gap, n, _rows, _max): values near a quantile one by one, the others lumped."""
+    """(keys, v, gap, n, _rows): values near a quantile one by one, the others lumped (gap = 1).
+
+    The smallest and the largest value of a lump stay values of their own. In a group with so few
+    rows that the slack spans no whole rank, the sketch is exact and a wanted rank is at most one
+    outside its bracket, so it is such a value: one rule holds for groups of every size.
+    """
     slack = 4.0 / _ACCURACY
     ends = [p for q in quantiles for p in (max(0.0, q - slack), min(1.0, q + slack))]
     data = df.select(*keys, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
@@ -30,26 +35,29 @@ def _bracketed_counts(df: DataFrame, keys: Sequence[str], value: str, quantiles:
     sketch = materialise(
         data.groupBy(*keys).agg(F.percentile_approx("v", ends, _ACCURACY).alias("_ends"), F.count("v").alias("_rows"))
     )
-    # too few rows for the slack to span whole ranks: such a group keeps all its values
-    small = F.col("_rows") <= _ACCURACY
-    joined = data.join(sketch, [*keys])
 
-    # a lump sorts right behind the last single value below it
-    lump = F.struct(F.lit(float("-inf")).alias("v"), F.lit(1).alias("gap"))
-    place: Column | None = None
+    def place(lump: int | None) -> Column:
+        alone = F.col("v") if lump is None else F.lit(None).cast("double")
+        return F.struct(F.lit(-1 if lump is None else lump).alias("lump"), alone.alias("v"))
+
+    at = F.when(F.col("v") < F.col("_ends")[0], place(0))
     for i in range(len(quantiles)):
-        low = F.when(small, F.lit(float("-inf"))).otherwise(F.col("_ends")[2 * i])
-        high = F.when(small, F.lit(float("inf"))).otherwise(F.col("_ends")[2 * i + 1])
-        single = F.struct(F.col("v").alias("v"), F.lit(0).alias("gap"))
-        place = F.when(F.col("v") < low, lump) if place is None else place.when(F.col("v") < low, lump)
-        place = place.when(F.col("v") <= high, single)
-        lump = F.struct(high.alias("v"), F.lit(1).alias("gap"))
-    return (
-        joined.withColumn("_at", place.otherwise(lump))
-        .groupBy(*keys, F.col("_at.v").alias("v"), F.col("_at.gap").alias("gap"))
-        .agg(F.count(F.lit(1)).alias("n"), F.max("_rows").alias("_rows"))
+        low, high = F.col("_ends")[2 * i], F.col("_ends")[2 * i + 1]
+        at = at.when(F.col("v") < low, place(i)).when(F.col("v") <= high, place(None))
+    grouped = (
+        data.join(sketch, [*keys])
+        .withColumn("_at", at.otherwise(place(len(quantiles))))
+        .groupBy(*keys, "_at")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("_rows").alias("_rows"))
     )
 
+    def piece(v: str, gap: int, n: Column) -> Column:
+        return F.struct(F.col(v).alias("v"), F.lit(gap).alias("gap"), n.cast("long").alias("n"))
+
+    split = F.array(piece("lo", 0, F.lit(1)), piece("lo", 1, F.col("n") - 2), piece("hi", 0, F.lit(1)))
+    pieces = F.when(F.col("lo") == F.col("hi"), F.array(piece("lo", 0, F.col("n")))).otherwise(split)
+    return grouped.select(*keys, "_rows", F.inline(pieces)).filter("n > 0").select(*keys, "v", "gap", "n", "_rows")
+
 
 def grouped_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float]

@@ -40,7 +40,7 @@ def stratified_sample(src: S.Source) -> DataFrame:
        g AS (SELECT *, CAST(ceil(total / 2.0) AS BIGINT) goal FROM r),
        c AS (SELECT event_id, failure, CASE WHEN goal <= n THEN CASE WHEN k <= goal THEN 1 ELSE 0 END
                     ELSE goal // n + CASE WHEN k <= goal % n THEN 1 ELSE 0 END END copies FROM g)
-       SELECT event_id, failure, CAST(i AS BIGINT) AS copy_no FROM c, range(1, 100) t(i) WHERE i <= copies""",
+       SELECT event_id, failure, CAST(i AS BIGINT) AS copy_no FROM c, unnest(range(1, copies + 1)) t(i)""",
 )
 def balance_sample(src: S.Source) -> DataFrame:
     events = src["events"].select("event_id", (F.col("event_type") == "error").cast("int").alias("failure"))
@@ -71,7 +71,7 @@ _ADASYN_COLUMNS = ", ".join(f"round(v[{i + 1}], 5) AS e{i}" for i in range(_DIME
     same AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, i) k FROM d WHERE lab = 1),
     partners AS (SELECT q, list(i ORDER BY k) ids FROM same WHERE k <= 5 GROUP BY 1),
     chosen AS (SELECT w.q, ids[1 + CAST(floor({_draw(42)} * len(ids)) AS BIGINT)] partner, {_draw(43)} step
-               FROM w JOIN partners ON w.q = partners.q, range(1, 100000) t(no) WHERE no <= w.g),
+               FROM w JOIN partners ON w.q = partners.q, unnest(range(1, w.g + 1)) t(no)),
     made AS (SELECT list_transform(list_zip(a.v, b.v), lambda z: z[1] + (z[2] - z[1]) * step) v
              FROM chosen JOIN e a ON a.id = q JOIN e b ON b.id = partner)
     SELECT {_ADASYN_COLUMNS}, lab AS label, false AS synthetic FROM e
@@ -209,7 +209,7 @@ def time_bucket_stream(src: S.Source) -> DataFrame:
     """The bucket aggregate run as a stream to the end of the data; open days stay out."""
     spark = src.spark
     buckets.use_disk_state(spark)
-    events = spark.readStream.schema(src["events"].schema).parquet(f"{src.folder}/events*.parquet")
+    events = spark.readStream.schema(src["events"].schema).parquet(f"{src.folder}/event[s].parquet")  # a stream opens single files by pattern only
     days = buckets.daily_change_stream(events, ["event_type"], "ts", "value", "event_id")
     base = f"{shared_folder(spark)}/time_bucket_stream-{uuid.uuid4().hex}"
     buckets.drain(days, f"{base}/out", f"{base}/state").awaitTermination()

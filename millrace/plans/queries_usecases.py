@@ -178,7 +178,7 @@ def arima_forecast(src: S.Source) -> DataFrame:
     f"""WITH {_FIXED_MODEL}, asked AS (SELECT DISTINCT store, {_DEPT.format("dept")} dept, store + 1 periods FROM lines)
     SELECT CAST(store_id AS VARCHAR) AS store_id, department_id, CAST(h AS INTEGER) AS week_index,
            round({_FORECAST}, 2) AS forecast
-    FROM state JOIN asked ON store = store_id AND dept = department_id, range(1, 100) t(h) WHERE h <= periods""",
+    FROM state JOIN asked ON store = store_id AND dept = department_id, unnest(range(1, CAST(periods AS BIGINT) + 1)) t(h)""",
 )
 def uc03_serve(src: S.Source) -> DataFrame:
     served = store_forecast.serve(S.store_requests(src, "p_type"), _fixed_model(src))
@@ -345,7 +345,7 @@ _SMART_SCALED = ", ".join(
     c AS (SELECT *, CASE WHEN goal <= n THEN CASE WHEN k <= goal THEN 1 ELSE 0 END
                          ELSE goal // n + CASE WHEN k <= goal % n THEN 1 ELSE 0 END END copies FROM r)
     SELECT id, CAST(failure AS INTEGER) AS failure, CAST(i AS BIGINT) AS copy_no, {_SMART_SCALED}
-    FROM c, range(1, 1000) t(i) WHERE i <= copies""",
+    FROM c, unnest(range(1, copies + 1)) t(i)""",
 )
 def uc06_balanced(src: S.Source) -> DataFrame:
     rows, _ = device_failures.balance_and_scale(device_failures.preprocess(S.device_days(src), "train"))
@@ -494,14 +494,14 @@ def uc07_score(src: S.Source) -> DataFrame:
 @query(
     "uc07_all_pairs",
     """WITH u AS (SELECT c_custkey id, c_custkey % 7 / 7.0::DOUBLE a, c_nationkey / 25.0::DOUBLE b, c_acctbal / 10000.0::DOUBLE c
-                  FROM customer WHERE c_acctbal >= 0),
+                  FROM customer),
     v AS (SELECT CAST(regexp_extract(p_brand, '(\\d+)', 1) AS BIGINT) id, avg(p_size) / 10.0 a,
                  CAST(sum(CAST(p_retailprice AS DECIMAL(12,2))) AS DOUBLE) / count(*) / 1000.0 b, 1.0::DOUBLE c FROM part GROUP BY 1)
     SELECT u.id AS row_id, v.id AS col_id,
            least(greatest(round_even(u.a * v.a + u.b * v.b + u.c * v.c, 0), 1.0), 5.0)::DOUBLE AS value FROM u, v""",
 )
 def uc07_all_pairs(src: S.Source) -> DataFrame:
-    users = S.customer_factors(src).select(F.col("id").alias("row_id"), F.col("features").alias("vals"))
+    users = S.customer_factors(src, all_known=True).select(F.col("id").alias("row_id"), F.col("features").alias("vals"))
     rows = factorisation.all_pairs(users, S.brand_factors(src))
     return rows.select("row_id", F.inline(F.arrays_zip(F.col("col_ids").alias("col_id"), F.col("vals").alias("value"))))
 

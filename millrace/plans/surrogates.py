@@ -147,12 +147,13 @@ def ratings(src: Source) -> DataFrame:
     )
 
 
-def customer_factors(src: Source) -> DataFrame:
-    """Three fixed numbers per customer without debt; the others stay unknown."""
+def customer_factors(src: Source, all_known: bool = False) -> DataFrame:
+    """Three fixed numbers per customer; those in debt stay unknown unless ``all_known``."""
     vector = F.array(
         F.col("c_custkey") % 7 / F.lit(7.0), F.col("c_nationkey") / F.lit(25.0), F.col("c_acctbal") / F.lit(10000.0)
     )
-    return src["customer"].filter("c_acctbal >= 0").select(F.col("c_custkey").alias("id"), vector.alias("features"))
+    known = src["customer"] if all_known else src["customer"].filter("c_acctbal >= 0")
+    return known.select(F.col("c_custkey").alias("id"), vector.alias("features"))
 
 
 def part_factors(src: Source) -> DataFrame:

@@ -34,8 +34,8 @@ def append_rows(df: DataFrame, path: str) -> None:
 def write_by_day(df: DataFrame, ts: str, path: str) -> None:
     """Metric rows in one folder per day, so a time range reads only its days."""
     day = df.withColumn("day", F.to_date(ts))
-    # a day spreads over several tasks: a busy day must not wait for a single writer
-    day.repartition("day", F.pmod(F.xxhash64(ts), F.lit(16))).write.mode("append").partitionBy("day").parquet(path)
+    # ranges are cut by a sample of the rows, so a busy day spreads over as many tasks as its share of them
+    day.repartitionByRange("day", F.xxhash64(*df.columns)).write.mode("append").partitionBy("day").parquet(path)
 
 
 def read_days(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:

@@ -93,13 +93,13 @@ def test_row_ids_follow_the_order(spark):
     assert sorted((r.row_id, r.k) for r in got) == [(i + 1, i) for i in range(1000)]
 
 
-@pytest.mark.parametrize("values", [0, 1000])
-def test_knn_equals_brute_force(spark, values):
+@pytest.mark.parametrize("rows", [17, 1000])
+def test_knn_equals_brute_force(spark, rows):
     rng = np.random.default_rng(2)
     points = np.vstack([rng.normal(size=(120, 3)), np.zeros((30, 3))])  # with many equal points
     items = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, vec array<double>").repartition(5)
     queries = items.filter("id < 20 OR id > 140")
-    got = neighbours.knn(items, queries, 4, broadcast_values=values, block_rows=17).collect()
+    got = neighbours.knn(items, queries, 4, block_rows=rows).collect()
     found = {}
     for r in sorted(got, key=lambda r: r["rank"]):
         found.setdefault(r.query_id, []).append(r.item_id)
