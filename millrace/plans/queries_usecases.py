@@ -17,6 +17,7 @@ from millrace.plans import (
     trip_types,
 )
 from millrace.plans import surrogates as S
+from millrace.plans.arima_sql import fitted
 from millrace.plans.registry import query
 from millrace.plans.stem_sql import stems
 from millrace.session import materialise
@@ -133,9 +134,18 @@ def uc03_labels(src: S.Source) -> DataFrame:
     return store_forecast.score_input(S.store_dept_labels(src)).withColumn("sales", F.round("sales", 2))
 
 
-@query("uc03_train")
+_FITTED = f"{_UC03_WEEKLY}, {fitted('weekly', 'store_id, department_id', 'week_index', 'total_sales')}"
+
+
+@query(
+    "uc03_train",
+    f"""WITH {_FITTED} SELECT store_id, department_id, round(phi, 6) AS phi, round(theta, 6) AS theta, round(last_value, 2) AS last_value,
+        round(last_diff, 2) AS last_diff, round(last_residual, 2) AS last_residual, n_obs FROM arima""",
+)
 def uc03_train(src: S.Source) -> DataFrame:
-    return store_forecast.train(store_forecast.weekly_sales(S.stores(src)))
+    model = store_forecast.train(store_forecast.weekly_sales(S.stores(src)))
+    places = {"phi": 6, "theta": 6, "last_value": 2, "last_diff": 2, "last_residual": 2}
+    return model.withColumns({c: F.round(c, n) for c, n in places.items()})
 
 
 def _fixed_model(src: S.Source) -> DataFrame:
@@ -212,11 +222,18 @@ def uc03_score(src: S.Source) -> DataFrame:
     return scored.select(F.round("msle", 6).alias("msle"))
 
 
-@query("uc03_trained_score")
+@query(
+    "uc03_trained_score",
+    f"""WITH {_FITTED}, seen AS (SELECT store, {_DEPT.format("dept")} dept, week(date_trunc('week', d)) w,
+                                    CAST(sum(amount) AS DOUBLE) sales FROM lines GROUP BY store, lines.dept, date_trunc('week', d)),
+    made AS (SELECT *, last_value + (phi * last_diff + theta * last_residual) * (1 - pow(phi, w)) / (1 - phi) forecast
+             FROM seen JOIN arima ON store = store_id AND dept = department_id WHERE phi IS NOT NULL AND w <= {store_forecast.SCORE_STEPS})
+    SELECT round(avg(pow(ln(abs(sales - forecast) + 1), 2)), 6) AS msle FROM made""",
+)
 def uc03_trained_score(src: S.Source) -> DataFrame:
     model = store_forecast.train(store_forecast.weekly_sales(S.stores(src)))
     observed = store_forecast.score_input(S.store_dept_labels(src))
-    return store_forecast.score(observed, store_forecast.predict(model))
+    return store_forecast.score(observed, store_forecast.predict(model)).select(F.round("msle", 6).alias("msle"))
 
 
 # ---------------------------------------------------------------- use case 04
