@@ -84,6 +84,11 @@ def tokens(text: Column, drop_numeric: bool = False) -> Column:
     return F.nullif(kept, F.array().cast("array<string>"))
 
 
+def joined_values(value: str, separator: str = "|") -> Column:
+    """Aggregate: the distinct values of a group in order, as one text. For columns of few distinct values."""
+    return F.expr(f"listagg(DISTINCT {value}, '{separator}') WITHIN GROUP (ORDER BY {value})")
+
+
 def matrix_rows(values: Column, width: int) -> Column:
     """Cut a flat array into consecutive rows of ``width`` values (a 2-D array)."""
     starts = F.sequence(F.lit(0), F.ceil(F.size(values) / F.lit(width)) - 1)

@@ -18,6 +18,17 @@ def fit(df: DataFrame, columns: Sequence[str], k: int = 4, max_iter: int = 300,
     return KMeans(k=k, maxIter=max_iter, initMode="k-means||", seed=seed).fit(points.select("features"))
 
 
+def lloyd(df: DataFrame, columns: Sequence[str], start: Sequence[Sequence[float]], steps: int) -> DataFrame:
+    """One row with the centroids after a number of Lloyd steps from given points; one without rows stays."""
+    spark, centres = df.sparkSession, [[float(x) for x in c] for c in start]
+    for _ in range(steps):
+        here = spark.createDataFrame([(centres,)], "centroids array<array<double>>")
+        means = assign(df, here, columns).groupBy("cluster_id").agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns])
+        for r in means.collect():  # one row per centroid
+            centres[r["cluster_id"]] = [r[c] for c in columns]
+    return spark.createDataFrame([(centres,)], "centroids array<array<double>>")
+
+
 def centroid_table(df: DataFrame, model: KMeansModel) -> DataFrame:
     """One row with the centroids as an array of points (index = cluster id)."""
     centres = [[float(x) for x in c] for c in model.clusterCenters()]

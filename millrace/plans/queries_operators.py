@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import udfs
-from millrace.functions.expressions import each_token, matrix_rows, normalise_department, planar_distance, tokens
+from millrace.functions.expressions import each_token, joined_values, matrix_rows, normalise_department, planar_distance, tokens
 from millrace.operators import factorisation, neighbours, quantiles, sampling
 from millrace.plans import runs
 from millrace.plans import surrogates as S
@@ -259,6 +259,29 @@ def token_vocabulary(src: S.Source) -> DataFrame:
     return words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "joined_types",
+    """WITH j AS (SELECT p_brand, string_agg(DISTINCT p_type, '|' ORDER BY p_type) types FROM part GROUP BY 1),
+       s AS (SELECT p_brand, unnest(string_split(types, '|')) p_type, generate_subscripts(string_split(types, '|'), 1) ix FROM j)
+       SELECT p_brand, CAST(ix AS INTEGER) AS position, p_type FROM s""",
+)
+def joined_types(src: S.Source) -> DataFrame:
+    """The types of a brand joined to one text, and cut again."""
+    joined = src["part"].groupBy("p_brand").agg(joined_values("p_type").alias("types"))
+    parts = joined.select("p_brand", F.posexplode(F.split("types", r"\|")).alias("at", "p_type"))
+    return parts.select("p_brand", (F.col("at") + 1).alias("position"), "p_type")
+
+
+@query(
+    "all_positive",
+    "SELECT event_type, bool_and(value > 0) AS all_positive, bool_and(user_id IS NOT NULL) AS all_known FROM events GROUP BY 1",
+)
+def all_positive(src: S.Source) -> DataFrame:
+    return src["events"].groupBy("event_type").agg(
+        F.bool_and(F.col("value") > 0).alias("all_positive"), F.bool_and(F.col("user_id").isNotNull()).alias("all_known")
+    )
+
+
 # ---------------------------------------------------------------- ingest
 
 
@@ -364,6 +387,22 @@ def run_geomean(src: S.Source) -> DataFrame:
     return runs.geometric_mean(medians).withColumn("geo_mean", F.round("geo_mean", 6))
 
 
+@query(
+    "artefact_list",
+    r"""WITH a AS (SELECT 'uc01_orders' item_name, count(*) n_rows FROM orders UNION ALL SELECT 'uc01_parts', count(*) FROM part
+                   UNION ALL SELECT 'uc01xnations', count(*) FROM nation)
+        SELECT item_name, n_rows FROM a WHERE item_name LIKE 'uc01\_%' ESCAPE '\' AND item_name NOT LIKE '%xnations'""",
+)
+def artefact_list(src: S.Source) -> DataFrame:
+    """Stored results with their sizes, picked by name; an escaped underscore is no wildcard."""
+    base = f"{shared_folder(src.spark)}/artefact_list-{uuid.uuid4().hex}"
+    log = runs.RunLog(src.spark, f"{base}/log")
+    for name, table in (("uc01_orders", "orders"), ("uc01_parts", "part"), ("uc01xnations", "nation")):
+        src[table].write.parquet(f"{base}/{name}")
+        log.artefact(name, f"{base}/{name}")
+    return log.artefacts(like=r"uc01\_%", not_like="%xnations").select("item_name", "n_rows")
+
+
 @query(
     "run_qph",
     """WITH m AS (SELECT user_id, event_type, max(value) v FROM events GROUP BY 1, 2),

@@ -75,6 +75,34 @@ def uc01_train(src: S.Source) -> DataFrame:
     )
 
 
+_LLOYD_STEPS = 10
+
+
+def _lloyd_sql() -> str:
+    points = [f"({i}, {f}e0, {r}e0)" for i, (f, r) in enumerate(CENTROIDS)]
+    steps = [f"lloyd0(k, f, r) AS (VALUES {', '.join(points)})"]
+    for i in range(1, _LLOYD_STEPS + 1):
+        steps.append(f"""lloyd{i} AS MATERIALIZED (
+            SELECT k, coalesce(mf, f) f, coalesce(mr, r) r FROM lloyd{i - 1} LEFT JOIN (
+                SELECT near, avg(frequency) mf, avg(returnratio) mr FROM (
+                    SELECT frequency, returnratio, arg_min(k, (pow(frequency - f, 2) + pow(returnratio - r, 2), k)) near
+                    FROM scaled, lloyd{i - 1} GROUP BY customerid, frequency, returnratio) GROUP BY near) ON near = k)""")
+    return ", ".join(steps)
+
+
+@query(
+    "uc01_lloyd",
+    f"""WITH {_UC01_RAW}, {_lloyd_sql()}
+    SELECT CAST(k AS INTEGER) AS cluster_id, round(f, 6) AS frequency, round(r, 6) AS returnratio FROM lloyd{_LLOYD_STEPS}""",
+)
+def uc01_lloyd(src: S.Source) -> DataFrame:
+    """The steps of the k-means fit from given points, which SQL can follow."""
+    table = clustering.lloyd(materialise(_uc01_prepared(src)), ["frequency", "returnratio"], CENTROIDS, _LLOYD_STEPS)
+    return table.select(F.posexplode("centroids").alias("cluster_id", "c")).select(
+        "cluster_id", F.round(F.col("c")[0], 6).alias("frequency"), F.round(F.col("c")[1], 6).alias("returnratio")
+    )
+
+
 @query(
     "uc01_assign",
     f"WITH {_UC01_DISTANCES} SELECT customerid, CAST(list_position(d, list_min(d)) - 1 AS BIGINT) AS cluster_id, "
