@@ -122,9 +122,14 @@ def balance_sample(df: DataFrame, id_column: str, label: str, seed: int = 42) ->
 
 
 def repeat_rows(df: DataFrame, copies: str, number: str, spread_by: list[str]) -> DataFrame:
-    """Emit each row ``copies`` times, numbered from 1, in chunks that are spread before they grow."""
-    chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / _CHUNK))
-    spread = df.filter(F.col(copies) > 0).withColumn("_chunk", F.explode(chunks)).repartition(*spread_by, "_chunk")
+    """Emit each row ``copies`` times, numbered from 1.
+
+    Rows of one chunk grow where they are; only those of several are spread by chunk before they grow.
+    """
+    chunks = F.sequence(F.lit(1).cast("long"), F.floor((F.col(copies) - 1) / _CHUNK))
+    here = df.filter(F.col(copies) > 0).withColumn("_chunk", F.lit(0).cast("long"))
+    further = df.filter(F.col(copies) > _CHUNK).withColumn("_chunk", F.explode(chunks)).repartition(*spread_by, "_chunk")
+    spread = here.unionByName(further)
     first = F.col("_chunk") * _CHUNK + 1
     last = F.least(first + _CHUNK - 1, F.col(copies).cast("long"))
     return spread.withColumn(number, F.explode(F.sequence(first, last))).drop(copies, "_chunk")

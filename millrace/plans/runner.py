@@ -18,6 +18,7 @@ from millrace.plans import (
     trip_types,
 )
 from millrace.plans.runs import RunLog
+from millrace.session import owned_intermediates
 from millrace.sources.tables import replace_table
 
 STAGES = ("preprocess", "train", "score", "serve")
@@ -214,5 +215,6 @@ USE_CASES = {
 def run_all(run: Run, use_cases: Sequence[str] = tuple(USE_CASES)) -> Run:
     """Run the selected use cases one after the other; their tables land in ``run.folder``."""
     for name in use_cases:
-        USE_CASES[name](run)
+        with owned_intermediates(run.spark):
+            USE_CASES[name](run)
     return run

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -81,6 +84,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+# of the running block; each thread has its own
+_RUN_FOLDER: ContextVar[str | None] = ContextVar("run_folder", default=None)
+
+
+@contextmanager
+def owned_intermediates(spark: SparkSession) -> Iterator[str]:
+    """Stored intermediates of the block go to a folder of its own, which is removed at the end.
+
+    What the block returns must be written or collected inside it.
+    """
+    folder = f"{shared_folder(spark)}/millrace-run-{uuid.uuid4().hex}"
+    token = _RUN_FOLDER.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN_FOLDER.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute once into a table of the shared folder and go on from there.
 
@@ -88,6 +111,6 @@ def materialise(df: DataFrame) -> DataFrame:
     size (so a small result is broadcast) and a columnar scan.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/millrace-{uuid.uuid4().hex}"
+    path = f"{_RUN_FOLDER.get() or shared_folder(spark)}/millrace-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -14,8 +14,13 @@ from millrace.functions.expressions import local_day_start, round_half_even
 
 
 def _change(ts: str, value: str, tie: str) -> Column:
-    """last - first by (ts, tie); both aggregates combine before the shuffle."""
-    at = F.struct(ts, tie)
+    """last - first by (ts, tie); both aggregates combine before the shuffle.
+
+    Time and tie-breaker make one number, as a struct would need sorted input to aggregate.
+    """
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts)).cast("decimal(17,0)")
+    behind = F.coalesce(F.col(tie).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)") + 1, F.lit(0))
+    at = micros * F.lit("100000000000000000000").cast("decimal(21,0)") + behind
     gap = F.max_by(value, at) - F.min_by(value, at)
     return round_half_even(gap * 100.0) / 100.0
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 import hashlib
 import math
 import statistics
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import neighbours, quantiles, sampling, scaling
+from millrace.session import materialise, owned_intermediates
 from millrace.sources import numbering
+from millrace.streaming import buckets
 
 
 def md5(i, seed=42):
@@ -132,3 +135,19 @@ def test_scaling_of_constant_and_unseen_values(spark):
     assert scaling.minmax_apply(new, params, ["a", "b"]).first()[:] == (2.0, 0.0)
     params = scaling.standard_fit(train, ["a", "b"])
     assert scaling.standard_apply(new, params, ["a", "b"]).first()[:] == pytest.approx((3 / math.sqrt(2), 0.0))
+
+
+def test_intermediates_of_a_block_are_removed(spark):
+    with owned_intermediates(spark) as folder:
+        assert materialise(spark.range(5)).count() == 5
+        assert list(Path(folder).iterdir())
+    assert not Path(folder).exists()
+    assert materialise(spark.range(3)).count() == 3  # outside a block they stay
+
+
+def test_days_of_equal_times_and_negative_ties(spark):
+    rows = [("2024-05-01 10:00:00", -3, 1.0), ("2024-05-01 10:00:00", 2, 4.0), ("2024-05-01 10:00:00", None, 0.5), ("2024-05-01 09:00:00", 9, 0.25)]
+    df = spark.createDataFrame(rows, "ts string, tie long, v double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    made = buckets.daily_change(df, [], "ts", "v", "tie")
+    assert made.first().value == 3.75
+    assert "SortAggregate" not in made._jdf.queryExecution().executedPlan().toString()
