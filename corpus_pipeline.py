@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, mixing, packed_ids, quality, simhash
+from millrace.llm import decontam, mixing, packed_ids, quality
+from millrace.llm import near_copies as near
 from millrace.llm.common import prepared, stored, table
 
 
@@ -15,8 +16,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (five words, 0.8) stays; SimHash links are its first candidates."""
+    return near.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +47,9 @@ def _pieces(text: bytes) -> Iterator[list[bytes]]:
     yield text[at:].split()
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    ones, total, carried = np.zeros(64, np.int64), 0, []
+def shingle_hashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> Iterator[np.ndarray]:
+    """Hashes of the word shingles of a text, a piece at a time; a text of fewer words is one shingle."""
+    none, carried = True, []
     few: list[bytes] = []
     for words in _pieces(text.lower()):
         words = carried + words
@@ -60,14 +61,25 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         begins = np.concatenate([[0], ends[:-1] + 1])
         of = xxhash.xxh64_intdigest
-        hashes = np.array([of(line[a:b], seed) for a, b in zip(begins.tolist(), ends[shingle - 1 :].tolist())], np.uint64)
+        yield np.array([of(line[a:b], seed) for a, b in zip(begins.tolist(), ends[shingle - 1 :].tolist())], np.uint64)
+        none = False
+    if none and few:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(few), seed)], np.uint64)
+
+
+def majority(pieces: Iterable[np.ndarray]) -> int:
+    """The bits that most of the hashes have set."""
+    ones, total = np.zeros(64, np.int64), 0
+    for hashes in pieces:
         total += len(hashes)
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    if not total and few:
-        return xxhash.xxh64_intdigest(b" ".join(few), seed)
     return sum(1 << k for k in np.flatnonzero(2 * ones > total).tolist())
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) of every document."""
 

@@ -300,6 +300,54 @@ def test_keep_one(docs, corpus):
     assert {r.doc_id for r in kept.collect()} == {d for d, c in first.items() if d is None or d == c}
 
 
+def five_words(text):
+    words = (text or "").encode().lower().split()  # as bytes: A-Z only
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_near_groups(rows):
+    """The smallest id reachable over pairs with five-word similarity of 0.8 or more."""
+    sets = [five_words(r[1]) for r in rows]
+    group = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if 5 * len(x & y) >= 4 * len(x | y) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {g: min((r[0] for r, h in zip(rows, group, strict=True) if h == g and r[0] is not None), default=None) for g in set(group)}
+    return [(r[0], least[g]) for r, g in zip(rows, group, strict=True)]
+
+
+def edited(rng, text, times):
+    words = text.split()
+    for k in range(times):
+        at = rng.randrange(len(words))
+        words[at : at + rng.randint(0, 1)] = [f"new{k}"] * rng.randint(0, 2)
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("pairwise,sampled,common", [(256, 16, 8), (2, 1, 2), (5, 1, 300)])
+def test_pipeline_near_copies_share_five_words(spark, corpus, no_docs, pairwise, sampled, common, monkeypatch):
+    import corpus_pipeline
+    from millrace.llm import near_copies
+
+    for name, value in (("PAIRWISE", pairwise), ("SAMPLED", sampled), ("COMMON", common)):
+        monkeypatch.setattr(near_copies, name, value)
+    rng = random.Random(8)
+    passage, hot = prose(rng, 60), prose(rng, 100)
+    texts = [f"{prose(rng, rng.randint(5, 60))} {passage}" for _ in range(25)]  # a common passage
+    texts += [prose(rng, 100) for _ in range(40)]
+    texts += [edited(rng, t, rng.randint(1, 5)) for t in texts[25:] for _ in range(3)]
+    texts += [edited(rng, hot, rng.randint(1, 3)) for _ in range(40)]  # one large group
+    rows = [*corpus, *(document(1000 + k, t) for k, t in enumerate(texts))]
+    want = plain_near_groups(rows)
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    assert sorted(map(tuple, near_copies.groups(docs).collect()), key=key) == sorted(want, key=key)
+    kept = corpus_pipeline.near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {d for d, c in want if d is None or d == c}
+    assert corpus_pipeline.near_copies(spark, no_docs, "").count() == 0
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
