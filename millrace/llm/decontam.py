@@ -6,17 +6,23 @@ a hit. Seeds of the documents meet seeds of the benchmark in a join. Around ever
 are laid side by side and an overlap is confirmed if some window of 13 words (or the whole item, if it
 is shorter) has 0.8 or more of its words equal.
 
+An item of fewer words has masks of its own length: with s words that may differ it is cut into s + 2
+blocks, and each mask keeps two of them, so that s substitutions always leave one mask whole. Items
+without such words (1 to 4) are one hash. Documents carry those masks only for lengths that items have.
+
 The benchmark's seeds are broadcast if their counted number is at most ``MOST_BROADCAST``; beyond that the
 join is shuffled, and adaptive execution splits seeds that are common in the documents.
 
-Defined cases: words are lowered and separated by white space; a null or empty text, or an item of fewer
-words than a mask spans, matches nothing; repeated documents are reported by id once per item; a null
+Defined cases: words are lowered and separated by white space; a null or empty text matches nothing; repeated documents are reported by id once per item; a null
 doc_id or item_id is a value like any other; an empty table on either side gives an empty table; other
 columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,15 +55,49 @@ def seeded(rows: DataFrame, key: str, masks=MASKS) -> DataFrame:
     return placed.select(key, "at", F.explode(each).alias("seed"))
 
 
-def hits(docs: DataFrame, items: DataFrame, masks=MASKS) -> DataFrame:
-    """doc_id, item_id, shift: where an item's first word would stand in the document."""
-    ours = seeded(docs.select("doc_id", "text"), "doc_id", masks)
-    theirs = stored(seeded(items.select("item_id", "text"), "item_id", masks).select("item_id", F.col("at").alias("item_at"), "seed").distinct(), "seeds")
+def short_masks(length: int, share: float = SHARE) -> tuple[tuple[int, ...], ...]:
+    """Masks over a whole item, of which one is whole wherever the words that may differ stand."""
+    differ = length - math.ceil(length * share - 1e-9)
+    blocks = min(length, differ + 2) if differ else 1
+    cuts = [k * length // blocks for k in range(blocks + 1)]
+    kept = combinations(range(blocks), blocks - differ)
+    return tuple(tuple(p for k in some for p in range(cuts[k], cuts[k + 1])) for some in kept)
+
+
+def short_seeds(rows: DataFrame, key: str, lengths: list[int], share: float, whole: bool) -> DataFrame:
+    """key, at, seed of the masks of short items: ``whole`` for items, each by its own length, else at every place."""
+    hashed = rows.select(key, F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    hashed = hashed.withColumn("size", F.size("h"))
+    span = max(lengths)
+    beside = F.arrays_zip(*[F.slice("h", k + 1, F.greatest(F.size("h"), F.lit(1))) for k in range(span)])
+    placed = hashed.select(key, "size", F.posexplode_outer(beside).alias("at", "w")).where("at = 0" if whole else "at IS NOT NULL")
+    each = []
+    for n in lengths:
+        fits = F.col("size") == n if whole else F.col("at") + n <= F.col("size")
+        each += [F.when(fits, F.xxhash64(F.lit(n), F.lit(number), *[F.col("w")[str(k)] for k in mask])) for number, mask in enumerate(short_masks(n, share))]
+    return placed.select(key, "at", F.explode_outer(F.array_compact(F.array(*each))).alias("seed")).where("seed IS NOT NULL")
+
+
+def _met(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """doc_id, item_id, shift of equal seeds."""
+    theirs = stored(theirs.select("item_id", F.col("at").alias("item_at"), "seed").distinct(), "seeds")
     if theirs.count() <= MOST_BROADCAST:
         theirs = F.broadcast(theirs)
     return ours.join(theirs, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
 
 
+def hits(docs: DataFrame, items: DataFrame, masks=MASKS, window: int = WINDOW, share: float = SHARE) -> DataFrame:
+    """doc_id, item_id, shift: where an item's first word would stand in the document."""
+    size = F.size(words(F.col("text")))
+    items = items.where(words(F.col("text"))[0] != "").select("item_id", "text")
+    found = _met(seeded(docs.select("doc_id", "text"), "doc_id", masks), seeded(items.where(size >= window), "item_id", masks))
+    short = items.where(size < window)
+    lengths = sorted(r.n for r in short.select(size.alias("n")).distinct().collect())
+    if not lengths:
+        return found
+    return found.unionByName(_met(short_seeds(docs, "doc_id", lengths, share, False), short_seeds(short, "item_id", lengths, share, True)))
+
+
 def _best_window(doc: Column, item: Column, shift: Column, window: int) -> tuple[Column, Column]:
     """The most equal words in a window of the overlap, and the window's length."""
     length = F.least(F.size(item), F.lit(window))
@@ -69,7 +109,7 @@ def _best_window(doc: Column, item: Column, shift: Column, window: int) -> tuple
 
 def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, matched, window: each document and item that share a confirmed overlap."""
-    found = stored(hits(docs, items, masks), "hits")
+    found = stored(hits(docs, items, masks, window, share), "hits")
     ours = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
     theirs = items.select(F.col("item_id").alias("_item"), words(F.col("text")).alias("_words"))
     laid = found.join(ours, F.col("doc_id").eqNullSafe(F.col("_doc"))).join(theirs, F.col("item_id").eqNullSafe(F.col("_item")))

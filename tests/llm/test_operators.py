@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -473,6 +474,32 @@ def test_two_substitutions_in_thirteen_words_leave_a_hit():
             assert any(all(at + k not in (a, b) for k in mask) for mask in decontam.MASKS for at in range(13 - mask[-1]))
 
 
+def test_masks_of_short_items_leave_a_hit():
+    for n in range(1, 13):
+        differ = n - math.ceil(0.8 * n - 1e-9)
+        for gone in itertools.combinations(range(n), differ):
+            assert any(not set(gone) & set(mask) for mask in decontam.short_masks(n)), (n, gone)
+
+
+def test_decontamination_of_short_items(spark):
+    """Items of 1 to 13 words, with every allowed set of substitutions and one more, in one pass of rows."""
+    rng = random.Random(12)
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(1, 14)] + [(20, None), (21, " "), (22, "")]
+    rows, want = [document(0, None), document(1, ""), document(2, " ")], set()
+    for n, text in items[:13]:
+        allowed = n - math.ceil(0.8 * n - 1e-9)
+        for differ in range(min(n, allowed + 1) + 1):
+            for gone in itertools.combinations(range(n), differ):
+                words = ["zzz" if k in gone else w for k, w in enumerate(text.split())]
+                before, after = ([prose(rng, 3)] * rng.randint(0, 1) for _ in range(2))
+                rows.append(document(len(rows), " ".join([*before, *words, *after])))
+                if differ <= allowed:
+                    want.add((len(rows) - 1, n, n - differ, n))
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {tuple(r) for r in decontam.overlaps(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
+
+
 # files and the pipeline
 
 
