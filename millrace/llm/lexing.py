@@ -2,30 +2,43 @@
 
 from __future__ import annotations
 
-import functools
 import sys
-import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 
 SPACE, LETTER, NUMBER, OTHER, CONT = range(5)
-# Code points that \s matches besides \t to \r and the space.
-_WIDE_SPACES = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
 
-@functools.cache
-def class_table() -> np.ndarray:
-    """The class of every code point."""
-    category = "".join(map(unicodedata.category, map(chr, range(sys.maxunicode + 1)))).encode()
-    major = np.frombuffer(category, np.uint8)[::2]
-    table = np.where(major == ord("L"), LETTER, np.where(major == ord("N"), NUMBER, OTHER)).astype(np.uint8)
-    table[[*range(9, 14), 32, *_WIDE_SPACES]] = SPACE
+def class_table(pieces: Callable[[str], list[tuple[int, int]]]) -> np.ndarray:
+    """The class of every code point, asked of a pre-tokenizer: ``pieces`` gives the spans that it cuts a text into.
+
+    Code points in a row are cut where their class changes, so few questions settle all of them.
+    """
+    table = np.full(sys.maxunicode + 1, OTHER, np.uint8)
+    row = [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]  # all but surrogates, which no text holds
+    text, at = "".join(map(chr, row)), np.array(row)
+    del row
+    cuts = np.unique([0, len(text), *(x for span in pieces(text) for x in span)])
+    for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        table[at[begin:end]] = _asked(pieces, text[begin])
+    for char in map(chr, range(128)):  # in a row, a space or an apostrophe can join what follows
+        table[ord(char)] = _asked(pieces, char)
     return table
 
 
-def classes(data: np.ndarray) -> np.ndarray:
+def _asked(pieces: Callable[[str], list[tuple[int, int]]], char: str) -> int:
+    """A letter joins a letter and a mark joins a mark; a number joins a number or is a piece of its own."""
+    for before, kind in (("a", LETTER), ("!", OTHER)):
+        if pieces(before + char) == [(0, 2)]:
+            return kind
+    if pieces("1" + char) == [(0, 2)] or (pieces(char) == [(0, 1)] and pieces(char + " " + char) == [(0, 1), (2, 3)]):
+        return NUMBER
+    return SPACE
+
+
+def classes(data: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The class of each byte: that of its character at the lead byte, then CONT; SPACE throughout for wide spaces."""
-    table = class_table()
     out = table[:256].take(data)  # right for ASCII
     out[(data & 0xC0) == 0x80] = CONT
     lead = np.flatnonzero(data >= 0xC0)
@@ -53,14 +66,14 @@ def contraction(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(short, 2, np.where(long, 3, 0))
 
 
-def word_starts(data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
+def word_starts(data: np.ndarray, text_starts: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Where the pieces begin that byte-level BPE splits a text into.
 
     ``text_starts`` are the places where texts begin; pieces never cross them. A single space belongs to the
     word that follows it, of a longer white-space run the last character stands apart, contractions are
     pieces of their own, and letters, numbers and the rest form runs.
     """
-    kinds = classes(data)
+    kinds = classes(data, table)
     wide = (data & 0xC0) != 0x80  # places of characters
     at = np.flatnonzero(wide)
     kind = kinds[at]

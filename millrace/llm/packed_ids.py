@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import files
 from millrace.llm.common import by_bytes, flat_bytes, new_folder, partitions, stored, text_or_empty
-from millrace.llm.lexing import word_starts
+from millrace.llm.lexing import class_table, word_starts
 
 END = 2
 BLOCK = 1 << 14
@@ -135,6 +135,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             self.special = [x["content"].encode() for x in json.load(file)["added_tokens"]]
+        self.kinds = class_table(lambda text: [span for _, span in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)])
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a space
         self.opens[[i for token, i in vocabulary.items() if token.startswith(_SPACE)]] = True
@@ -184,7 +185,7 @@ class WordEncoder:
             return np.zeros(0, np.uint32), np.zeros(texts, np.int64)
         if len(self.known) > MOST_WORDS:
             self.forget()
-        begin = word_starts(data, starts[:-1][starts[:-1] < starts[1:]])
+        begin = word_starts(data, starts[:-1][starts[:-1] < starts[1:]], self.kinds)
         length = np.diff(begin, append=len(data))
         distinct, kind = _distinct_words(data, begin, length)
         words = [whole[a:b] for a, b in zip(begin[distinct].tolist(), (begin[distinct] + length[distinct]).tolist(), strict=True)]

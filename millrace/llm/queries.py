@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, decontam, mixing, packed_ids, quality, simhash, suffix_dedup, token_counts, url_filter, warc
+from millrace.llm import ann, bpe, decontam, mixing, packed_ids, quality, simhash, suffix_dedup, token_counts, url_filter, warc
 from millrace.llm.common import table
 from millrace.llm.registry import query
 
@@ -73,3 +73,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_suffix_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op13_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -22,7 +22,6 @@ from __future__ import annotations
 import functools
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from millrace.llm.common import row_bytes
-from millrace.llm.lexing import CONT, LETTER, NUMBER, OTHER, SPACE, classes, contraction
+from millrace.llm.lexing import CONT, LETTER, NUMBER, OTHER, SPACE, class_table, classes, contraction
 
 LIMIT = 2048
 PIECE = 4 << 20  # bytes of text counted at a time
 LANE = 512
-MOST_CELLS = 32 << 20  # transitions kept before the machine is compiled anew
+FIRST_STATES = 1 << 12
+MOST_CELLS = 32 << 20  # transitions kept; beyond them all but the states in use are forgotten and compiled anew when met
+_MARKS = 0xCC  # the first byte of U+0300: no text of lower characters composes, and its lower case is settled
 _END = 256  # added to the last byte of a word
 
 # The word machine. Classes as in lexing, and apostrophes that open a contraction of two or three letters.
@@ -97,14 +98,15 @@ def word_begins(kinds: np.ndarray, chunk: int = 256) -> np.ndarray:
     return begins.T.reshape(-1)[:n]
 
 
-class Overfull(Exception):
-    """The transition table has reached its bound."""
-
-
 class TokenMachine:
     """Byte-pair encoding of words as a machine that counts tokens."""
 
     def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        self.normalise = library.normalizer.normalize_str
+        self.kinds = class_table(lambda text: [span for _, span in library.pre_tokenizer.pre_tokenize_str(text)])
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -180,14 +182,25 @@ class TokenMachine:
             parts[at : at + 2] = [best[1]]
 
     def forget(self) -> None:
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.states: list[tuple] = [(0, ((-1, 0),))]
-        self.number = {self.states[0]: 0}
-        self.places: dict[int, dict[int, int]] = {}
         self.columns[:] = -1
         self.symbol_of: list[int] = []
-        self.next = np.full((1 << 12, 32), -1, np.int32)
-        self.change = np.zeros((1 << 12, 32), np.int8)
+        self._only([(0, ((-1, 0),))])
+
+    def _only(self, states: list[tuple]) -> None:
+        """A machine that knows these states alone, and none of their transitions."""
+        self.pairs: dict[tuple[int, int], bool] = {}
+        self.states = states
+        self.number = {state: k for k, state in enumerate(states)}
+        self.places: dict[int, dict[int, int]] = {}
+        high, wide = max(FIRST_STATES, len(states)), -(-max(32, len(self.symbol_of)) // 16) * 16
+        self.next = np.full((high, wide), -1, np.int32)
+        self.change = np.zeros((high, wide), np.int8)
+
+    def _forget_all_but(self, state: np.ndarray) -> np.ndarray:
+        """Keep the start and the states that lanes are in; their new numbers."""
+        kept, at = np.unique(np.append(state, 0), return_inverse=True)
+        self._only([self.states[k] for k in kept.tolist()])
+        return at[:-1].astype(np.int32)
 
     def _grow(self) -> None:
         """Room for all states and symbols met so far."""
@@ -199,8 +212,6 @@ class TokenMachine:
             wide = -(-len(self.symbol_of) // 16) * 16
         if (high, wide) == old_next.shape:
             return
-        if high * wide > MOST_CELLS:
-            raise Overfull
         self.next, self.change = np.full((high, wide), -1, np.int32), np.zeros((high, wide), np.int8)
         self.next[: old_next.shape[0], : old_next.shape[1]] = old_next
         self.change[: old_next.shape[0], : old_next.shape[1]] = old_change
@@ -243,6 +254,8 @@ class TokenMachine:
                 self.columns[symbol] = len(self.symbol_of)
                 self.symbol_of.append(symbol)
         self._grow()
+        if self.next.size > MOST_CELLS:
+            self._forget_all_but(np.zeros(1, np.int32))
         column = self.columns[symbols]
         length = np.diff(lanes, append=len(symbols))
         order = np.argsort(-length, kind="stable")
@@ -258,6 +271,11 @@ class TokenMachine:
             if follows.min() < 0:
                 missing = np.unique(cell[follows < 0])
                 from_, on = np.divmod(missing, wide)
+                if (len(self.states) + len(missing)) * wide > MOST_CELLS and len(self.states) > 2 * lanes_left + 1:
+                    state = self._forget_all_but(state[:lanes_left])
+                    cell = state * wide + column[at]
+                    missing = np.unique(cell)
+                    from_, on = np.divmod(missing, wide)
                 made = np.array([self._compile(a, self.symbol_of[b]) for a, b in zip(from_.tolist(), on.tolist(), strict=True)])
                 self._grow()
                 self.next[from_, on], self.change[from_, on] = made[:, 0], made[:, 1]
@@ -271,8 +289,9 @@ class TokenMachine:
         """The text as the tokenizer normalises it, but for white space, which no word contains."""
         if text.isascii():
             return text.lower()
-        whole = unicodedata.normalize("NFC", text.decode())
-        return whole.replace("Σ", "σ").lower().encode()  # lower() alone knows a final sigma
+        if np.frombuffer(text, np.uint8).max() < _MARKS:
+            return text.decode().lower().encode()
+        return self.normalise(text.decode()).encode()
 
     def count(self, texts: list[bytes]) -> np.ndarray:
         """Tokens of each text."""
@@ -288,7 +307,7 @@ class TokenMachine:
             else:
                 prepared.append(self.prepare(text))
         data = np.frombuffer(b"\n".join(prepared) + b"\n", np.uint8)
-        kinds = classes(data)
+        kinds = classes(data, self.kinds)
         quotes = np.flatnonzero(data == ord("'"))
         if len(quotes):
             kinds = kinds.copy()
@@ -302,13 +321,7 @@ class TokenMachine:
         # A word ends before the next begins or before white space; the second falls away with the white space itself.
         symbols[np.append(first[1:] - 1, len(symbols) - 1)] += _END
         lanes = first[np.unique(np.searchsorted(first, np.arange(0, len(symbols), LANE), side="right") - 1)]
-        try:
-            change = self.run(symbols, lanes)
-        except Overfull:  # one piece alone stays far below the bound, or is counted in halves
-            self.forget()
-            if len(texts) > 1 and len(data) > PIECE // 16:
-                return np.concatenate([self.count(texts[: len(texts) // 2]), self.count(texts[len(texts) // 2 :])])
-            change = self.run(symbols, lanes)
+        change = self.run(symbols, lanes)
         total = np.concatenate([[0], np.cumsum(change, dtype=np.int64)])
         ends = np.cumsum([len(p) + 1 for p in prepared])
         upto = np.concatenate([[0], np.cumsum(inside)])[np.concatenate([[0], ends])]
