@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, bpe, decontam, mixing, packed_ids, quality, simhash, suffix_dedup, token_counts, url_filter, warc
+from millrace.llm import ann, bpe, decontam, mixing, packed_ids, phrases, quality, simhash, suffix_dedup, token_counts, url_filter, warc
 from millrace.llm.common import table
 from millrace.llm.registry import query
 
@@ -78,3 +78,40 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_bpe")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+p AS (SELECT lang, [x FOR x IN string_split_regex(piece, '[\x20\x09]+') IF x <> ''] AS w FROM pieces),
+f1 AS (SELECT lang, phrase, count(*) AS a FROM (SELECT lang, unnest(w) AS phrase FROM p) GROUP BY ALL),
+f2 AS (SELECT lang, x[1] AS w1, x[2] AS w2, count(*) AS a FROM (SELECT lang, unnest([[w[i], w[i + 1]] FOR i IN range(1, len(w))]) AS x FROM p) GROUP BY ALL),
+f3 AS (SELECT lang, x[1] AS w1, x[2] AS w2, x[3] AS w3, count(*) AS a FROM (SELECT lang, unnest([[w[i], w[i + 1], w[i + 2]] FOR i IN range(1, len(w) - 1)]) AS x FROM p) GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f1 GROUP BY lang),
+c2 AS (SELECT * FROM f2 WHERE a >= 10),
+c3 AS (SELECT * FROM f3 WHERE a >= 10),
+held AS (SELECT lang, w1, w2, max(a) AS longer FROM (SELECT lang, w1, w2, a FROM c3 UNION ALL SELECT lang, w2, w3, a FROM c3) GROUP BY ALL),
+cuts AS (
+  SELECT c.lang, c.w1 || ' ' || c.w2 AS phrase, 1 AS k, c.a, l.a AS l, r.a AS r
+  FROM c2 c LEFT JOIN held h ON h.lang = c.lang AND h.w1 = c.w1 AND h.w2 = c.w2
+  JOIN f1 l ON l.lang = c.lang AND l.phrase = c.w1 JOIN f1 r ON r.lang = c.lang AND r.phrase = c.w2
+  WHERE h.longer IS NULL OR 100 * h.longer < 50 * c.a
+  UNION ALL
+  SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, 1, c.a, l.a, r.a
+  FROM c3 c JOIN f1 l ON l.lang = c.lang AND l.phrase = c.w1 JOIN f2 r ON r.lang = c.lang AND r.w1 = c.w2 AND r.w2 = c.w3
+  UNION ALL
+  SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, 2, c.a, l.a, r.a
+  FROM c3 c JOIN f2 l ON l.lang = c.lang AND l.w1 = c.w1 AND l.w2 = c.w2 JOIN f1 r ON r.lang = c.lang AND r.phrase = c.w3),
+scored AS (SELECT *, CAST(1000000 * a::HUGEINT * a::HUGEINT // (l::HUGEINT * r::HUGEINT) AS BIGINT) AS score FROM cuts),
+low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM low JOIN n USING (lang)
+QUALIFY rank <= 2000
+"""
+
+
+@query("op12_phrases", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
