@@ -45,6 +45,8 @@ _HERE = (1 << _PLACE) - 1
 class QueueEncoder(WordEncoder):
     """Ids of many texts at once; words are encoded by the queue of merges."""
 
+    most_words = 300_000
+
     def __init__(self, path: str) -> None:
         super().__init__(path)
         with open(path, encoding="utf-8") as file:

@@ -16,12 +16,14 @@ def class_table(pieces: Callable[[str], list[tuple[int, int]]]) -> np.ndarray:
     Code points in a row are cut where their class changes, so few questions settle all of them.
     """
     table = np.full(sys.maxunicode + 1, OTHER, np.uint8)
-    row = [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]  # all but surrogates, which no text holds
-    text, at = "".join(map(chr, row)), np.array(row)
-    del row
-    cuts = np.unique([0, len(text), *(x for span in pieces(text) for x in span)])
-    for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        table[at[begin:end]] = _asked(pieces, text[begin])
+    step = 1 << 11
+    for at in range(0, sys.maxunicode + 1, step):
+        if 0xD800 <= at < 0xE000:  # surrogates, which no text holds
+            continue
+        text = "".join(map(chr, range(at, at + step)))
+        cuts = np.unique([0, step, *(x for span in pieces(text) for x in span)])
+        for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            table[at + begin : at + end] = _asked(pieces, text[begin])
     for char in map(chr, range(128)):  # in a row, a space or an apostrophe can join what follows
         table[ord(char)] = _asked(pieces, char)
     return table

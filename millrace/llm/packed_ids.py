@@ -35,8 +35,8 @@ END = 2
 BLOCK = 1 << 14
 MAGIC = b"MRPK"
 _SPACE = "\u0120"  # how byte-level vocabularies spell a space
-MOST_WORDS = 600_000  # words remembered by a worker before it starts anew
-PIECE = 6 << 20  # bytes of text encoded at a time
+MOST_WORDS = 400_000  # words remembered by a worker before it starts anew
+PIECE = 4 << 20  # bytes of text encoded at a time
 
 
 def bits_needed(vocabulary: int) -> int:
@@ -129,6 +129,8 @@ class ShardReader:
 class WordEncoder:
     """Ids of many texts at once; remembers the ids of the words it has met."""
 
+    most_words = MOST_WORDS
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
@@ -183,7 +185,7 @@ class WordEncoder:
             return np.concatenate([np.zeros(0, np.uint32), *each]), np.array([len(e) for e in each], np.int64)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(texts, np.int64)
-        if len(self.known) > MOST_WORDS:
+        if len(self.known) > self.most_words:
             self.forget()
         begin = word_starts(data, starts[:-1][starts[:-1] < starts[1:]], self.kinds)
         length = np.diff(begin, append=len(data))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, bpe, decontam, mixing, packed_ids, phrases, quality, simhash, suffix_dedup, token_counts, url_filter, warc
+from millrace.llm import ann, bpe, decontam, mixing, packed_ids, phrases, quality, simhash, spelling, suffix_dedup, token_counts, url_filter, warc
 from millrace.llm.common import table
 from millrace.llm.registry import query
 
@@ -115,3 +115,37 @@ QUALIFY rank <= 2000
 @query("op12_phrases", OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT 0 AS step, CAST(range AS UINTEGER) AS byte, CAST(range AS UINTEGER) AS v FROM range(256)
+  UNION ALL
+  SELECT step + 1, byte, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384::UINTEGER) ELSE v >> 1 END FROM bits WHERE step < 8),
+crc AS (SELECT list(v ORDER BY byte) AS t FROM bits WHERE step = 8),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+d AS (SELECT id, run, count(*) AS c FROM runs GROUP BY ALL),
+bytes AS (SELECT id, run, c, flatten([CASE WHEN ord(x) < 128 THEN [CAST(ord(x) AS UINTEGER)] ELSE [195::UINTEGER, CAST(ord(x) - 64 AS UINTEGER)] END FOR x IN string_split(id || ':' || run, '')]) AS b FROM d),
+h AS (SELECT run, c, length(run) AS size, xor(list_reduce(list_prepend(4294967295::UINTEGER, b), lambda s, x: xor(t[CAST(xor(s, x) & 255 AS INTEGER) + 1], s >> 8)), 4294967295::UINTEGER) AS h FROM bytes, crc),
+made AS (SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, CAST(h % size AS INTEGER)) || substring(run, CAST(h % size AS INTEGER) + 2) ELSE run END AS word, c FROM h),
+w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n, length(word) AS size FROM made WHERE length(word) >= 6 GROUP BY ALL HAVING sum(c) >= 5),
+gaps AS (SELECT word, n, size, unnest([{'k': k, 'rest': substring(word, 1, k - 1) || substring(word, k + 1)} FOR k IN range(1, size + 1)], recursive := true) FROM w),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM gaps a JOIN gaps b ON a.size = b.size AND a.k = b.k AND a.rest = b.rest AND a.word <> b.word
+  UNION
+  SELECT g.word, w.word, w.n FROM gaps g JOIN w ON g.rest = w.word
+  UNION
+  SELECT w.word, g.word, g.n FROM gaps g JOIN w ON g.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, max(n) AS top, min(other) FILTER (WHERE n = t) AS other FROM (SELECT *, max(n) OVER (PARTITION BY word) AS t FROM near) GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * w.n THEN other END AS form, CASE WHEN top >= 5 * w.n THEN top END AS form_n FROM w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS here, 0 AS depth FROM forms UNION ALL SELECT c.word, f.form, depth + 1 FROM chain c JOIN forms f ON f.word = c.here WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(here, depth) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
+
+@query("op11_spelling", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
