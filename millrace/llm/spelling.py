@@ -98,7 +98,7 @@ def _counted(data: np.ndarray, starts: np.ndarray, ids: list, every: int, shorte
     begin = np.cumsum(inside)[at] - 1
     length = np.diff(begin, append=len(letters))
     prefixes = np.array([zlib.crc32(f"{'' if k is None else k}:".encode()) for k in ids], np.uint32)
-    h = checksums(letters, begin, length, prefixes[np.searchsorted(starts, at, side="right") - 1])
+    h = checksums(letters, begin, length, prefixes[np.searchsorted(starts, at, side="right") - 1]).astype(np.int64)
     distinct, kind = _distinct_words(letters, begin, length)
     changed = np.flatnonzero(h % every == 0)
     n = np.bincount(kind, minlength=len(distinct))
