@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.expressions import each_token
-from millrace.operators import boosting, clustering, factorisation, kernel_svm, logistic, metrics, scaling
+from millrace.operators import boosting, clustering, factorisation, folds, kernel_svm, logistic, metrics, scaling
 from millrace.plans import (
+    boosting_sql,
     customer_segments,
     device_failures,
     payment_fraud,
@@ -18,7 +19,7 @@ from millrace.plans import (
 )
 from millrace.plans import surrogates as S
 from millrace.plans.arima_sql import fitted
-from millrace.plans.registry import query
+from millrace.plans.registry import query, shared_fit
 from millrace.plans.stem_sql import stems
 from millrace.session import materialise
 
@@ -566,33 +567,53 @@ def _uc08_prepared(src: S.Source) -> DataFrame:
     return trip_types.preprocess(tables, index, tables["store_dept"])
 
 
-@query(
-    "uc08_features",
-    f"""WITH idx AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) dept_id FROM (SELECT DISTINCT p_brand FROM part)),
+_UC08_ROWS = f"""idx AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) dept_id FROM (SELECT DISTINCT p_brand FROM part)),
     li AS (SELECT l_orderkey o, CAST(l_quantity AS INTEGER) q, dept_id FROM lineitem JOIN part ON l_partkey = p_partkey
-           JOIN idx ON part.p_brand = idx.p_brand)
-    SELECT CAST(sum(abs(q)) AS BIGINT) AS scan_count_abs_sum,
+           JOIN idx ON part.p_brand = idx.p_brand),
+    baskets AS (SELECT CAST(sum(abs(q)) AS BIGINT) AS scan_count_abs_sum,
            min(CAST(substr(o_orderpriority, 1, 1) AS INTEGER)) AS trip_type,
            {_DAYS_SQL}, o AS o_order_id, {_DEPTS_SQL}
-    FROM li JOIN orders ON o = o_orderkey GROUP BY o, o_orderdate""",
-)
+    FROM li JOIN orders ON o = o_orderkey GROUP BY o, o_orderdate)"""
+
+
+@query("uc08_features", f"WITH {_UC08_ROWS} SELECT * FROM baskets")
 def uc08_features(src: S.Source) -> DataFrame:
     return _uc08_prepared(src)
 
 
-# Few and shallow trees keep the registered queries short; the defaults are 100 and 6.
-_TREES = {"rounds": 2, "max_depth": 3, "parallel_classes": 5}
+# Given cuts of a few features, for the check of the fit.
+_UC08_CUTS = {"scan_count_abs_sum": [30, 60, 90, 120, 160], "monday": [0], "friday": [0], "dept_1": [0, 20, 40], "dept_13": [0, 25], "dept_25": [0, 10, 30]}
+
+
+@query(
+    "uc08_small_fit",
+    f"""WITH {_UC08_ROWS}, {boosting_sql.fitted("baskets", "o_order_id", "trip_type", _UC08_CUTS, 2, 3)}
+    SELECT CAST(round AS INTEGER) AS round, CAST(class AS INTEGER) AS class, CAST(node AS INTEGER) AS node, CAST(feature AS INTEGER) AS feature,
+           CAST(cut AS DOUBLE) AS cut, round(gain, 4) AS gain, round(weight, 6) AS weight FROM tree""",
+)
+def uc08_small_fit(src: S.Source) -> DataFrame:
+    """Two rounds of three levels with given cuts: every split, gain and leaf."""
+    model = boosting.fit(materialise(_uc08_prepared(src)), list(_UC08_CUTS), "trip_type", rounds=2, max_depth=3, cuts=_UC08_CUTS)
+    return boosting.nodes(src.spark, model).withColumns({"gain": F.round("gain", 4), "weight": F.round("weight", 6)})
+
+
+@shared_fit
+def _uc08_model(src: S.Source) -> boosting.BoostedTrees:
+    """100 rounds of depth 6 on the rows outside the held-out fold."""
+    return trip_types.train(materialise(folds.split(_uc08_prepared(src), ["o_order_id"])[0]))
 
 
 def _uc08_predicted(src: S.Source) -> tuple[DataFrame, DataFrame]:
-    prepared = materialise(_uc08_prepared(src))
-    return trip_types.predict(prepared, trip_types.train(prepared, **_TREES)), prepared
+    """Predictions for orders that the fit has not seen, and those orders."""
+    model = _uc08_model(src)
+    unseen = materialise(folds.split(_uc08_prepared(src), ["o_order_id"])[1])
+    return trip_types.predict(unseen, model), unseen
 
 
 @query("uc08_train")
 def uc08_train(src: S.Source) -> DataFrame:
-    predicted, prepared = _uc08_predicted(src)
-    return boosting.class_metrics(trip_types.compare(predicted, prepared), "class_label_predicted", "true_label")
+    """The splits and leaves of all trees."""
+    return boosting.nodes(src.spark, _uc08_model(src))
 
 
 @query("uc08_predict")
@@ -605,6 +626,11 @@ def uc08_score(src: S.Source) -> DataFrame:
     return trip_types.score(*_uc08_predicted(src))
 
 
+@query("uc08_class_metrics")
+def uc08_class_metrics(src: S.Source) -> DataFrame:
+    return boosting.class_metrics(trip_types.compare(*_uc08_predicted(src)), "class_label_predicted", "true_label")
+
+
 # ---------------------------------------------------------------- use case 10
 
 _UC10 = """

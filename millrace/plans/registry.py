@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +15,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+T = TypeVar("T")
+
+
+def shared_fit(fit: Callable[[Source], T]) -> Callable[[Source], T]:
+    """A fit that several queries use is made once per application and folder."""
+    made: dict[tuple[str, str], T] = {}
+
+    @functools.wraps(fit)
+    def once(src: Source) -> T:
+        key = (src.spark.sparkContext.applicationId, src.folder)
+        if key not in made:
+            made[key] = fit(src)
+        return made[key]
+
+    return once
+
+
 def query(name: str, oracle: str | None = None):
     """Register ``build(source)`` under a name; without SQL only its rows are checked."""
 
