@@ -123,4 +123,4 @@ def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, window: int = WINDO
 def clean(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
     """The documents without a confirmed overlap."""
     bad = overlaps(docs, items, **settings).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")

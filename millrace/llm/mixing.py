@@ -12,7 +12,7 @@ Blocks are dealt by a hash of the document, so a hot source is many blocks, and
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; a source
 without words has target 0 and takes nothing; repeated rows are decided together; an empty table
-gives an empty table; other columns are ignored.
+gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,13 +91,17 @@ def land(p: np.ndarray, size: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def _step(seed: int, last: bool):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        key = pd.util.hash_array(group["doc_id"].fillna(-1).astype("int64").to_numpy()) ^ np.uint64(seed)
-        group = group.assign(k=key).sort_values(["k", "doc_id", "size"], kind="stable").drop(columns="k")
-        size, count = (group["size"] * group["m"]).to_numpy(np.float64), group["m"].to_numpy(np.float64)
+    def run(group: pa.Table) -> pa.Table:
+        # The id stays an Arrow column throughout: as numbers of another kind, wide ids beside a null would change.
+        ids = pc.fill_null(group.column("doc_id"), -1).to_numpy()
+        key = pd.util.hash_array(ids) ^ np.uint64(seed)
+        group = group.take(pa.array(np.lexsort((group.column("size").to_numpy(), pc.is_valid(group.column("doc_id")).to_numpy(), ids, key))))
+        m, p = group.column("m").to_numpy(), group.column("p").to_numpy()
+        size, count = (group.column("size").to_numpy() * m).astype(np.float64), m.astype(np.float64)
         coins = np.random.default_rng([seed, len(group), int(size.sum())]).random(len(group) + 1)
-        p = flight(group["p"].to_numpy(np.float64), size, count, coins)
-        return group.assign(p=land(p, size, count) if last else p)
+        p = flight(p, size, count, coins)
+        p = land(p, size, count) if last else p
+        return group.set_column(group.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
 
     return run
 
@@ -117,7 +123,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 7) -> Da
     most_blocks, decided, level = max(1, math.ceil(longest / BLOCK)), [], 0
     while True:
         last = most_blocks == 1
-        done = rows.groupBy("source", "block").applyInPandas(_step(seed + level, last), _UNIT)
+        done = rows.groupBy("source", "block").applyInArrow(_step(seed + level, last), _UNIT)
         done = stored(done, "mix-level")
         if last:
             decided.append(done)
@@ -140,8 +146,9 @@ def taken(mixed: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it, with their own columns."""
-    chosen = mix(docs, **settings).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
-    sized = docs.withColumn("_words", word_count(F.col("text")))
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    return sized.join(chosen, match).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    """The documents themselves, each as often as the mix takes it, with their own columns, whatever their names."""
+    chosen = mix(docs, **settings).where("copies > 0").select("doc_id", "source", "size", "copies")
+    # The document travels as one value, so that its columns meet no names of the operator.
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), word_count(F.col("text")).alias("words"))
+    match = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("row.source").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
+    return whole.join(chosen, match).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

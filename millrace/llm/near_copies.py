@@ -11,8 +11,9 @@ each set keeps the parities of 1024 classes, and two parities differ only where
 The order may be any; only the number of candidates depends on it. Shingles counted in a sample of the
 documents come last, the commonest of all at the end, so that a common passage is no key.
 
-A key of more than ``PAIRWISE`` sets gives links to its first set and between neighbours by size at first. Then
-only its pairs from different groups are compared, all of them.
+A key gives, whatever its size, only links to its first set and between neighbours by size at first. Copies of one
+text are joined by these. Once their groups are known, the pairs of a key that still lie in different groups are
+compared, all of them; so a group of near copies costs its number of members, not of their pairs.
 
 Defined cases: words and shingles are those of ``simhash``; sets are compared by 64-bit hashes of the shingles,
 and equal sets are one; texts without words are alike; a null doc_id keeps its row and links others; an empty
@@ -34,7 +35,6 @@ from millrace.llm.common import partitions, row_bytes, stored
 from millrace.llm.components import components
 
 SHINGLE = 5
-PAIRWISE = 256
 # One document in so many is counted for the order, and shingles seen at least so often come last.
 SAMPLED = 16
 COMMON = 8
@@ -148,25 +148,20 @@ def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64()), none, none], ["a", "b", "token", "size", "at"])
 
 
-def _run_pairs(pairwise: int, token: np.ndarray, node: np.ndarray, size: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Candidates of whole keys, sorted by key and size; rows of crowded keys are handed on with them."""
+def _first_pairs(token: np.ndarray, node: np.ndarray, size: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of whole keys, sorted by key and size: candidates with the first set and between neighbours; and the rows of keys of three or more."""
     first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     length = np.diff(first, append=len(token))
-    big = length > max(1, pairwise)
-    small = np.repeat(~big & (length > 1), length)
-    key, some, n, p = np.repeat(np.arange(len(first)), length)[small], node[small], size[small], at[small]
-    for step in range(1, int(length[~big].max(initial=1))):
-        k = np.flatnonzero(key[step:] == key[:-step])
-        if not len(k):
-            break
-        k = k[_fit((n[k], p[k]), (n[k + step], p[k + step]))]
+    head, place = np.repeat(first, length), np.arange(len(token))
+    for other in (head, place - 1):
+        k = place[place > head + (other is not head)]
+        k = k[_fit((size[other[k]], at[other[k]]), (size[k], at[k]))]
         if len(k):
-            yield _pair_rows(some[k], some[k + step])
-    for f, m in zip(first[big].tolist(), length[big].tolist(), strict=True):
-        run = slice(f, f + m)
-        yield _pair_rows(np.repeat(node[f : f + 1], m - 1), node[f + 1 : f + m])
-        yield _pair_rows(node[f : f + m - 1], node[f + 1 : f + m])
-        yield pa.RecordBatch.from_arrays([pa.array(node[run]), pa.nulls(m, pa.int64()), pa.array(token[run]), pa.array(size[run].astype(np.int32)), pa.array(at[run].astype(np.int32))], ["a", "b", "token", "size", "at"])
+            yield _pair_rows(node[other[k]], node[k])
+    more = np.repeat(length > 2, length)
+    if more.any():
+        m = int(more.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(node[more]), pa.nulls(m, pa.int64()), pa.array(token[more]), pa.array(size[more].astype(np.int32)), pa.array(at[more].astype(np.int32))], ["a", "b", "token", "size", "at"])
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
@@ -186,20 +181,19 @@ def _by_key(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterat
 
 
 def candidates(short: DataFrame) -> DataFrame:
-    """Pairs a, b of nodes; and with b null the rows of crowded keys: node a, token, size, at."""
+    """Pairs a, b of nodes; and with b null the rows of keys of three or more: node a, token, size, at."""
     rows = short.select("node", "size", F.posexplode("tokens").alias("at", "token"))
     rows = rows.repartition(partitions(short.sparkSession), "token").sortWithinPartitions("token", "size", "node")
-    pairwise = PAIRWISE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _by_key(batches, ("token", "node", "size", "at")):
-            yield from _run_pairs(pairwise, *columns)
+            yield from _first_pairs(*columns)
 
     return rows.mapInArrow(run, _PAIRS)
 
 
 def _apart(token: np.ndarray, node: np.ndarray, size: np.ndarray, at: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """All candidates of crowded keys whose sets are in different groups."""
+    """All candidates of whole keys whose sets are in different groups."""
     first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])).tolist()
     for f, e in zip(first, [*first[1:], len(token)], strict=True):
         if (group[f:e] == group[f]).all():
@@ -214,7 +208,7 @@ def _apart(token: np.ndarray, node: np.ndarray, size: np.ndarray, at: np.ndarray
 
 
 def remaining(crowded: DataFrame, linked: DataFrame) -> DataFrame:
-    """Pairs of crowded keys that the links found so far leave in different groups."""
+    """Pairs of a key that the links found so far leave in different groups."""
     reached = stored(components(linked), "near-components")
     rows = crowded.join(reached, crowded.a == reached.node, "left").select("token", "a", "size", "at", F.coalesce("component", "a").alias("component"))
     rows = rows.repartition(partitions(crowded.sparkSession), "token").sortWithinPartitions("token", "size", "a")
@@ -302,4 +296,4 @@ def groups(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without those that have a smaller id in their group; rows that repeat the kept id stay one."""
     gone = groups(docs).where("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

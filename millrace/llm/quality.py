@@ -1,9 +1,12 @@
 """Quality classifier by co-training: one model sees the text, the other the page's metadata.
 
-Both are logistic regressions, fitted on a bounded sample of the labelled documents (``labelled`` rows,
-``pool`` unlabelled ones; which ones is decided by a hash of the id). In every round each view fits,
-names the documents of the pool that it is sure of, and hands these to the other view as pseudo-labels.
-At the end each view is calibrated on labelled documents that no fit has seen, the calibrated log-odds
+Both are logistic regressions, fitted on a bounded sample of the labelled documents (``labelled`` rows;
+which ones is decided by a hash of the id). In every round each view fits, scores all documents of the corpus
+where they lie, and hands those that it is sure of to the other view as pseudo-labels. What travels are sums: for
+each feature of the other view, how many documents that have it were called good, and how many bad. The
+other view's next fit sees them as weighted rows with that one feature, ``LENT`` of the labelled rows in all. So
+every document takes part at any size, and the driver holds two arrays of fixed length per view.
+At the end each view is calibrated on labelled documents whose labels no fit has seen, the calibrated log-odds
 are added, and every document is scored where it lies.
 
 A document is good if its quality label is 1 and it is not labelled toxic.
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import row_bytes
 
 LABELLED = 6000
-POOL = 3000
+LENT = 0.25  # weight of all pseudo-labels, as a share of the labelled rows
 ROUNDS = 2
 WORD_BITS = 18
 SURE = 0.97  # calibrated probability from which a view hands a pseudo-label over
@@ -107,24 +110,34 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_linear(features: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, dim: int, free_from: int, penalty: float, steps: int = 120) -> Linear:
+Lent = tuple[np.ndarray, np.ndarray]  # by feature: documents called bad, and called good
+
+
+def fit_linear(features: list[np.ndarray], labels: np.ndarray, lent: Lent | None, dim: int, free_from: int, penalty: float, steps: int = 120) -> Linear:
     """Logistic regression on present features by accelerated proximal gradients; features below ``free_from`` pay by absolute value."""
-    names, flat = np.unique(np.concatenate(features), return_inverse=True)
-    counts = np.bincount(flat, minlength=len(names))
-    lengths = np.array([len(f) for f in features])
-    rows = np.repeat(np.arange(len(features)), lengths)
+    flat = np.concatenate(features)
+    rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
+    counts, weight, labels = np.bincount(flat, minlength=dim), np.ones(len(features)), labels.astype(float)
+    if lent is not None and lent[0].sum() + lent[1].sum() > 0:
+        scale = LENT * len(features) / (lent[0].sum() + lent[1].sum())
+        for label, called in enumerate(lent):
+            has = np.flatnonzero(called)
+            flat, rows = np.concatenate([flat, has]), np.concatenate([rows, len(weight) + np.arange(len(has))])
+            weight, labels = np.concatenate([weight, called[has] * scale]), np.concatenate([labels, np.full(len(has), float(label))])
+            counts = counts + called
     keep = (counts >= 3)[flat]
     flat, rows = flat[keep], rows[keep]
-    total = weight.sum()
+    names, flat = np.unique(flat, return_inverse=True)
+    n, total = len(weight), weight.sum()
     cost = np.where(names < free_from, penalty, 0.0)
     # A step that suits each feature: common ones move less.
     used = np.bincount(flat, weights=weight[rows], minlength=len(names)) / total
-    rate = 1 / (0.25 * np.maximum(used, 1e-9) * max(1.0, np.bincount(rows, minlength=1).mean() ** 0.5) + 1e-3)
+    rate = 1 / (0.25 * np.maximum(used, 1e-9) * max(1.0, (len(np.concatenate(features)) / len(features)) ** 0.5) + 1e-3)
     w, look, b, look_b, t = np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0, 1.0
     prior = np.clip((weight * labels).sum() / total, 1e-3, 1 - 1e-3)
     b = look_b = float(np.log(prior / (1 - prior)))
     for _ in range(steps):
-        z = np.bincount(rows, weights=look[flat], minlength=len(features)) + look_b
+        z = np.bincount(rows, weights=look[flat], minlength=n) + look_b
         error = weight * (_sigmoid(z) - labels) / total
         grad = np.bincount(flat, weights=error[rows], minlength=len(names)) + 1e-5 * look
         step = look - rate * grad
@@ -160,55 +173,95 @@ def calibrate(model: Linear, features: list[np.ndarray], labels: np.ndarray) ->
     return Linear(model.weights, model.intercept, float(scale), float(beta[1] - beta[0] * x.mean() / spread))
 
 
-def co_train(text: list[np.ndarray], meta: list[np.ndarray], label: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """label: 1 good, 0 bad, -1 unknown. Every fifth labelled document only calibrates."""
-    known = np.flatnonzero(label >= 0)
-    held, base = known[::5], np.delete(known, np.s_[::5])
+def fit_views(text: list[np.ndarray], meta: list[np.ndarray], label: np.ndarray, lent: dict[str, Lent] | None = None) -> Model | None:
+    """Both views from labelled documents, 1 good and 0 bad, and what the other view lent. Every fifth only calibrates.
+
+    None if there are not documents of both kinds to fit on.
+    """
+    held = np.arange(len(label)) % 5 == 0
+    base, rest = np.flatnonzero(~held), np.flatnonzero(held)
     if not len(base) or label[base].min() == label[base].max():
-        return Model(Linear(np.zeros(_TEXT_DIM), 1.0, 0.0, 1.0), Linear(np.zeros(_META_DIM), 1.0, 0.0, 1.0), 0.0)
-    pool = np.flatnonzero(label < 0)
-    pick = lambda all_, at: [all_[k] for k in at.tolist()]
+        return None
     views = {"text": (text, _TEXT_DIM, _WORDS, 1.0 / len(base) * 1.5), "meta": (meta, _META_DIM, _META_DIM, 2.0 / len(base))}
-    lent: dict[str, dict[int, float]] = {"text": {}, "meta": {}}
-    models: dict[str, Linear] = {}
-    for turn in range(rounds + 1):
-        for name, (features, dim, free, penalty) in views.items():
-            extra = np.array(sorted(lent[name]), np.int64)
-            at = np.concatenate([base, extra])
-            y = np.concatenate([label[base], [lent[name][k] for k in extra.tolist()]])
-            weight = np.concatenate([np.ones(len(base)), np.full(len(extra), 0.5)])
-            fitted = fit_linear(pick(features, at), y, weight, dim, free, penalty)
-            models[name] = calibrate(fitted, pick(features, held), label[held])
-        if turn < rounds and len(pool):
-            for name, other in (("text", "meta"), ("meta", "text")):
-                p = _sigmoid(models[name].logit(pick(views[name][0], pool)))
-                for k, q in zip(pool.tolist(), p.tolist(), strict=True):
-                    if q >= SURE or q <= 1 - SURE:
-                        lent[other][k] = float(q > 0.5)
-    share = (label[known].sum() + 1) / (len(known) + 2)
-    return Model(models["text"], models["meta"], float(np.log(share / (1 - share))))
-
-
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> Model:
-    """Fit on at most ``labelled`` labelled and ``pool`` unlabelled documents, the first by a hash of the id."""
+    made = {}
+    for name, (features, dim, free, penalty) in views.items():
+        fitted = fit_linear([features[k] for k in base.tolist()], label[base], lent and lent[name], dim, free, penalty)
+        made[name] = calibrate(fitted, [features[k] for k in rest.tolist()], label[rest])
+    share = (label.sum() + 1) / (len(label) + 2)
+    return Model(made["text"], made["meta"], float(np.log(share / (1 - share))))
+
+
+_BLOCK = 1 << 13  # features whose sums travel together
+_DIMS = {"text": _TEXT_DIM, "meta": _META_DIM}
+_SUMS = "view string, called int, block int, sums binary"
+
+
+def _features(batch: pa.RecordBatch) -> dict[str, list[np.ndarray]]:
+    text = [text_features(t) for t in row_bytes(batch.column("text"))]
+    meta = [meta_features(*m) for m in zip(*(batch.column(n).to_pylist() for n in ("lang", "source", "n_chars")), strict=True)]
+    return {"text": text, "meta": meta}
+
+
+def lend(docs: DataFrame, model: Model) -> dict[str, Lent]:
+    """Of each view the sums by feature of all documents that the other view is sure of."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {view: np.zeros((2, -(-dim // _BLOCK) * _BLOCK), np.int64) for view, dim in _DIMS.items()}
+        for batch in batches:
+            features = _features(batch)
+            for view, other in (("text", "meta"), ("meta", "text")):
+                p = _sigmoid(getattr(shared.value, view).logit(features[view]))
+                for called, sure in enumerate((p <= 1 - SURE, p >= SURE)):
+                    if sure.any():
+                        given = np.concatenate([features[other][k] for k in np.flatnonzero(sure).tolist()])
+                        sums[other][called] += np.bincount(given, minlength=sums[other].shape[1])
+        rows = []
+        for view, both in sums.items():
+            for called, flat in enumerate(both):
+                rows += [(view, called, k, part.tobytes()) for k, part in enumerate(flat.reshape(-1, _BLOCK)) if part.any()]
+        columns = [*zip(*rows, strict=True)] or [(), (), (), ()]
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["view", "called", "block", "sums"])
+
+    def summed(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.int64) for x in group.column("sums"))
+        return group.slice(0, 1).set_column(3, "sums", pa.array([total.tobytes()], pa.binary()))
+
+    parts = docs.select("text", "lang", "source", "n_chars").mapInArrow(run, _SUMS)
+    lent = {view: (np.zeros(dim, np.int64), np.zeros(dim, np.int64)) for view, dim in _DIMS.items()}
+    for r in parts.groupBy("view", "called", "block").applyInArrow(summed, _SUMS).collect():  # as many numbers as features
+        into = lent[r["view"]][r["called"]]
+        at = r["block"] * _BLOCK
+        into[at : at + _BLOCK] = np.frombuffer(r["sums"], np.int64)[: len(into) - at]
+    return lent
+
+
+_SAYS_NOTHING = Model(Linear(np.zeros(_TEXT_DIM), 1.0, 0.0, 1.0), Linear(np.zeros(_META_DIM), 1.0, 0.0, 1.0), 0.0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model:
+    """Fit on at most ``labelled`` labelled documents, the first by a hash of the id, and on pseudo-labels of all documents."""
     own = labels.where("quality IS NOT NULL OR toxic IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.min(((F.coalesce("quality", F.lit(1)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("_good"))
-    rank = F.xxhash64("doc_id", F.lit(11))
-    ids = docs.select("doc_id").join(own, F.col("doc_id") == F.col("_id"), "left").select("doc_id", F.coalesce("_good", F.lit(-1)).alias("good"), rank.alias("k"))
+    ids = docs.select(F.col("doc_id").alias("_doc")).join(own, F.col("_doc") == F.col("_id")).select("_doc", F.col("_good").alias("good"), F.xxhash64("_doc", F.lit(11)).alias("k"))
     # The ids of the sample alone, of bounded number: the broadcast that picks their texts is bounded too.
-    chosen = ids.where("good >= 0").orderBy("k", "doc_id").limit(labelled).unionByName(ids.where("good < 0").orderBy("k", "doc_id").limit(pool))
-    chosen = F.broadcast(chosen.select(F.col("doc_id").alias("_id"), "good").dropDuplicates(["_id"]))
+    chosen = ids.orderBy("k", "_doc").limit(labelled)
+    chosen = F.broadcast(chosen.select(F.col("_doc").alias("_id"), "good").dropDuplicates(["_id"]))
     sample = docs.select("doc_id", "text", "lang", "source", "n_chars").join(chosen, F.col("doc_id") == F.col("_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [text_features(t).tolist() for t in row_bytes(batch.column("text"))]
-            meta = [meta_features(*m).tolist() for m in zip(*(batch.column(n).to_pylist() for n in ("lang", "source", "n_chars")), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("good").cast(pa.int32()), pa.array(text, pa.list_(pa.int32())), pa.array(meta, pa.list_(pa.int32()))], ["doc_id", "good", "t", "m"])
+            features = {view: pa.array([x.tolist() for x in rows], pa.list_(pa.int32())) for view, rows in _features(batch).items()}
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("good").cast(pa.int32()), features["text"], features["meta"]], ["doc_id", "good", "t", "m"])
 
     rows = sample.mapInArrow(run, "doc_id long, good int, t array<int>, m array<int>").toArrow()
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    lists = lambda name: [np.asarray(rows[name][k].values, np.int32) for k in order.tolist()]
-    return co_train(lists("t"), lists("m"), rows["good"].to_numpy()[order], rounds)
+    text, meta = ([np.asarray(rows[name][k].values, np.int32) for k in order.tolist()] for name in ("t", "m"))
+    label = rows["good"].to_numpy()[order]
+    model = fit_views(text, meta, label)
+    for _ in range(rounds if model else 0):
+        model = fit_views(text, meta, label, lend(docs, model))
+    return model or _SAYS_NOTHING
 
 
 _OUT = "doc_id long, text_score double, meta_score double, score double, keep boolean"

@@ -199,5 +199,5 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, segments:
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """The documents without those that have a smaller id in their group; rows that repeat the kept id stay one."""
     gone = groups(docs, **settings).where("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
     return kept

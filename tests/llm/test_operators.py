@@ -171,6 +171,30 @@ def test_mixed_documents_keep_their_columns(docs, no_docs):
     assert mixing.mixed_documents(no_docs).count() == 0
 
 
+def test_wide_ids_beside_a_null_stay_whole(spark):
+    wide = 1 << 60
+    rows = [document(wide + k, "w " * (k + 1), source="a") for k in range(7)] + [document(None, "w w", source="a"), document(-wide - 1, "", source=None)]
+    docs = spark.createDataFrame(rows, DOCS).coalesce(1)
+    ids = {r[0] for r in rows}
+    assert {r.doc_id for r in mixing.mix(docs).collect()} == {r.doc_id for r in mixing.taken(mixing.mix(docs)).collect()} == ids
+    taken = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
+    mixed = mixing.mixed_documents(docs)
+    assert collections.Counter(r.doc_id for r in mixed.collect()) == +collections.Counter(taken)
+
+
+def test_stages_take_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    names = ["copies", "_words", "_copy", "_id", "_source", "_size", "_gone", "_bad", "row", "words", "size", "copy", "target"]
+    rows = [(k, f"some words of document number {k} " * 4, "en", "a", 9, *[f"x{k}"] * len(names)) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    items = spark.createDataFrame([(1, "some words of document number 3 some words of document number 3")], "item_id long, text string")
+    for made in (mixing.mixed_documents(docs), corpus_pipeline.near.keep_one(docs), simhash.keep_one(docs), decontam.clean(docs, items)):
+        assert made.columns == docs.columns
+        assert {r._gone for r in made.collect()} <= {f"x{k}" for k in range(6)}
+    assert 3 not in {r.doc_id for r in decontam.clean(docs, items).collect()}
+
+
 def test_flight_keeps_both_totals():
     rng = np.random.default_rng(0)
     for n in (1, 2, 3, 50, 3000):
@@ -326,12 +350,12 @@ def edited(rng, text, times):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("pairwise,sampled,common", [(256, 16, 8), (2, 1, 2), (5, 1, 300)])
-def test_pipeline_near_copies_share_five_words(spark, corpus, no_docs, pairwise, sampled, common, monkeypatch):
+@pytest.mark.parametrize("sampled,common", [(16, 8), (1, 2), (1, 300)])
+def test_pipeline_near_copies_share_five_words(spark, corpus, no_docs, sampled, common, monkeypatch):
     import corpus_pipeline
     from millrace.llm import near_copies
 
-    for name, value in (("PAIRWISE", pairwise), ("SAMPLED", sampled), ("COMMON", common)):
+    for name, value in (("SAMPLED", sampled), ("COMMON", common)):
         monkeypatch.setattr(near_copies, name, value)
     rng = random.Random(8)
     passage, hot = prose(rng, 60), prose(rng, 100)
