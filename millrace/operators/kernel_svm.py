@@ -2,22 +2,28 @@
 
 The random projection is part of the model (one row per component), so a stored
 model predicts the same on every cluster.
+
+The machine has squared hinge loss and is fitted by Newton steps: one pass sums the loss, its gradient and its
+curvature over the mapped features, where they are mapped; the sums have a fixed size. The fit stops
+on the gradient, which is returned with the model as its proof.
 """
 
 from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+
+from millrace.session import materialise
+
+_ARROW = pa.schema([("slot", pa.int32()), ("rows", pa.float64()), ("loss", pa.float64()), ("gradient", pa.binary()), ("curvature", pa.binary())])
 Projection = list[tuple[list[float], float]]
 
 
@@ -29,6 +35,7 @@ class KernelSvm:
     projection: Projection
     coefficients: list[float]
     intercept: float
+    gradient: list[float] | None = None  # of the fit, by component and then the intercept
 
 
 def random_projection(n_features: int, gamma: float, components: int, seed: int) -> Projection:
@@ -56,18 +63,42 @@ def _doubles(features: Sequence[str]) -> list[Column]:
     return [F.col(c).cast("double") for c in features]
 
 
-def fourier_features(features: Sequence[str], projection: Projection) -> Column:
-    """The random feature map as a vector column, one matrix product per Arrow batch."""
-    feature_map = _feature_map(projection)
-    width = len(projection)
+_SUMS = "slot int, rows double, loss double, gradient binary, curvature binary"
+_SLOTS = 16
+
+
+def _moments(points: DataFrame, features: Sequence[str], projection: Projection, at: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Weight of all rows, and the sums of loss, gradient and curvature at these coefficients, the intercept last."""
+    feature_map, width = _feature_map(projection), len(projection) + 1
+
+    def row(slot: int, n: float, loss: float, g: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"slot": slot, "rows": n, "loss": loss, "gradient": g.tobytes(), "curvature": h.tobytes()}], schema=_ARROW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, loss, g, h = 0.0, 0.0, np.zeros(width), np.zeros((width, width))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.column_stack([feature_map([batch.column(c) for c in features]), np.ones(batch.num_rows)])
+            y, c = 2 * batch.column("label").to_numpy() - 1, batch.column("weight").to_numpy()
+            margin = x @ at
+            near = y * margin < 1  # rows on the right side and far enough cost nothing
+            x, off, c_near = x[near], (margin - y)[near], c[near]
+            n += c.sum()
+            loss += float((c_near * off * off).sum())
+            g += 2 * (c_near * off) @ x
+            h += 2 * (x * c_near[:, None]).T @ x
+        yield row(hash(n) % _SLOTS, n, loss, g, h)
 
-    def mapped(*columns: pa.Array) -> pa.Array:
-        matrix = feature_map(columns)
-        offsets = pa.array(np.arange(0, matrix.size + 1, width, dtype=np.int32))
-        return pa.ListArray.from_arrays(offsets, pa.array(matrix.ravel()))
+    def summed(group: pa.Table) -> pa.Table:
+        whole = lambda name: sum(np.frombuffer(b.as_py()) for b in group.column(name))
+        n, loss = (float(group.column(name).to_numpy().sum()) for name in ("rows", "loss"))
+        return pa.Table.from_batches([row(group.column("slot")[0].as_py(), n, loss, whole("gradient"), whole("curvature"))])
 
-    udf = F.arrow_udf(mapped, T.ArrayType(T.DoubleType()))
-    return array_to_vector(udf(*_doubles(features)))
+    parts = points.mapInArrow(run, _SUMS).groupBy("slot").applyInArrow(summed, _SUMS).collect()  # one row per slot
+    gradient = sum(np.frombuffer(r["gradient"]) for r in parts)
+    curvature = sum(np.frombuffer(r["curvature"]) for r in parts).reshape(width, width)
+    return sum(r["rows"] for r in parts), sum(r["loss"] for r in parts), gradient, curvature
 
 
 def fit(
@@ -81,13 +112,14 @@ def fit(
     max_iter: int = 200,
     balanced: bool = True,
     seed: int = 7,
+    projection: Projection | None = None,
 ) -> KernelSvm:
     """``balanced`` weights a row by n / (2 * size of its class).
 
-    ``max_iter`` counts quasi-Newton steps, each one pass over the data.
+    ``tol`` bounds the largest entry of the gradient, ``max_iter`` the Newton steps, each one pass over the data.
     """
     n = len(features)
-    projection = random_projection(n, gamma or 1.0 / n, components or max(100, 2 * n), seed)
+    projection = projection or random_projection(n, gamma or 1.0 / n, components or max(100, 2 * n), seed)
     y = F.col(label).cast("double")
     data = df.select(*[F.col(c).cast("double").alias(c) for c in features], y.alias("label")).dropna()
     weight = F.lit(1.0)
@@ -96,14 +128,28 @@ def fit(
         if share is None or not 0 < share < 1:
             raise ValueError("the balanced classifier needs rows of both classes")
         weight = F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share))
-    points = data.select(fourier_features(features, projection).alias("features"), "label", weight.alias("weight"))
-    svc = LinearSVC(
-        regParam=reg_param, tol=tol, maxIter=max_iter, weightCol="weight", standardization=False, aggregationDepth=2
-    )
-    fitted = svc.fit(points)
-    if fitted.summary().totalIterations >= max_iter:
-        warnings.warn(f"the fit stopped after {max_iter} steps, before its tolerance of {tol}", stacklevel=2)
-    return KernelSvm(list(features), projection, [float(c) for c in fitted.coefficients], float(fitted.intercept))
+    points = materialise(data.withColumn("weight", weight))
+    penalty = np.append(np.full(len(projection), reg_param), 0.0)
+    here, before, least, gradient = np.zeros(len(projection) + 1), None, math.inf, np.zeros(0)
+    for _ in range(max_iter + 1):
+        total, loss, g, h = _moments(points, features, projection, here)
+        if not total:
+            raise ValueError("no rows to fit on")
+        cost = loss / total + 0.5 * float(penalty @ (here * here))
+        if before is not None and cost > least * (1 + 1e-12):
+            here = (here + before) / 2  # the step went too far
+            continue
+        gradient = g / total + penalty * here
+        if np.abs(gradient).max() <= tol:
+            break
+        curvature = h / total + np.diag(penalty)
+        before, least = here, cost
+        here = here - np.linalg.solve(curvature + 1e-12 * np.eye(len(here)), gradient)
+    else:
+        here = before  # the point that the gradient belongs to
+        if tol > 0:
+            warnings.warn(f"the fit stopped after {max_iter} steps, before its tolerance of {tol}", stacklevel=2)
+    return KernelSvm(list(features), projection, here[:-1].tolist(), float(here[-1]), gradient.tolist())
 
 
 def predict(df: DataFrame, model: KernelSvm, id_column: str) -> DataFrame:

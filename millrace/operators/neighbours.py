@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +17,8 @@ from millrace.session import materialise
 
 _HITS = "query_id long, item_id long, distance double"
 _CELLS = 1 << 24  # numbers of the points that a step of queries may gather
+PART_ROWS = 2_000  # items around a pivot, on average
+MOST_PIVOTS = 1 << 10  # they travel with every task
 
 
 def nearest(items: DataFrame, id_column: str, vector: str, query: Sequence[float], k: int = 5) -> DataFrame:
@@ -49,37 +52,155 @@ def _closest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, points
     return pd.concat(found) if found else pd.DataFrame({"query_id": [], "item_id": [], "distance": []})
 
 
-def knn(items: DataFrame, queries: DataFrame, k: int, block_rows: int = 20_000) -> DataFrame:
-    """(query_id, item_id, distance, rank) for ``items(id, vec)`` and ``queries(id, vec)``.
+_PLACED = "id long, vec array<double>, part int, gap double"
+_SENT = "id long, vec array<double>, part int, block int"
 
-    Blocks of queries meet blocks of items in an equi-join on the block pair; a task hands on at
-    most k hits per query, and the result is exact.
-    """
-    points = items.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
-    asked = queries.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
-    hits = _blockwise_hits(points, asked, k, block_rows)
+
+def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64)
+
+
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
+
+
+def _steps(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    step = max(1, _CELLS // (8 * pivots.size))
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+class Pivots:
+    """Points that items are gathered around; of each the number of items and how near and far they lie."""
+
+    def __init__(self, places: np.ndarray) -> None:
+        self.places = places
+        self.between = _distances(places, places)
+        self.count, self.near, self.far = (np.zeros(len(places)) for _ in range(3))
+
+    def placed(self, points: DataFrame) -> DataFrame:
+        """Every point with its nearest pivot and the distance to it."""
+        places = self.places
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _steps(batches, places):
+                d = _distances(_vectors(batch.column("vec")), places)
+                part = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array(part, pa.int32()), pa.array(d[np.arange(len(d)), part])], ["id", "vec", "part", "gap"])
+
+        return points.select("id", "vec").mapInArrow(run, _PLACED)
+
+    def measure(self, placed: DataFrame) -> None:
+        for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("lo"), F.max("gap").alias("hi")).collect():  # a row per pivot
+            self.count[r.part], self.near[r.part], self.far[r.part] = r.n, r.lo, r.hi
+
+    def blocks(self, block_rows: int) -> np.ndarray:
+        return np.maximum(1, np.ceil(self.count / block_rows)).astype(np.int64)
+
+    def reached(self, d: np.ndarray, own: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """Which parts but its own may hold a point within ``reach`` of each query; d are its distances to the pivots."""
+        reach = (reach * (1 + 1e-9) + 1e-12 * d.max(axis=1))[:, None]
+        mine = d[np.arange(len(d)), own][:, None]
+        may = (self.count > 0) & (d - self.far <= reach) & (self.near - d <= reach)
+        # Points of another part lie beyond the plane half way between the two pivots.
+        apart = self.between[own]
+        plane = np.divide(d**2 - mine**2, 2 * apart, out=np.zeros_like(d), where=apart > 0)
+        may &= plane <= reach + 1e-9 * d
+        may[np.arange(len(d)), own] = False
+        return may
+
+
+def _pivots(points: DataFrame, part_rows: int) -> Pivots | None:
+    """Points of a small sample, each the one farthest from those before it, so that no cluster is without."""
+    wanted = min(MOST_PIVOTS, -(-points.count() // part_rows))
+    some = points.orderBy(F.xxhash64("id"), "id").limit(8 * wanted).select("vec").toArrow().column("vec")
+    if not len(some):
+        return None
+    sample = _vectors(some)
+    chosen, gap = [0], np.full(len(sample), np.inf)
+    while len(chosen) < wanted:
+        gap = np.minimum(gap, ((sample - sample[chosen[-1]]) ** 2).sum(axis=1))
+        if not gap.max() > 0:
+            break
+        chosen.append(int(gap.argmax()))
+    return Pivots(sample[chosen])
+
+
+def _sent(asked: DataFrame, pivots: Pivots, block_rows: int) -> DataFrame:
+    """Queries, to each block of the parts they have to look into: their own, or with a ``reach`` the others within it."""
+    blocks, again = pivots.blocks(block_rows), "reach" in asked.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _steps(batches, pivots.places):
+            own = batch.column("part").to_numpy()
+            if again:
+                d = _distances(_vectors(batch.column("vec")), pivots.places)
+                reach = batch.column("reach").to_numpy(zero_copy_only=False)
+                which, part = np.nonzero(pivots.reached(d, own, reach))
+            else:
+                which, part = np.arange(len(own)), own
+            n = blocks[part]
+            which, part, first = np.repeat(which, n), np.repeat(part, n), np.repeat(np.cumsum(n) - n, n)
+            rows = batch.select(["id", "vec"]).take(pa.array(which))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(part, pa.int32()), pa.array(np.arange(len(which)) - first, pa.int32())], ["id", "vec", "part", "block"])
+
+    return asked.mapInArrow(run, _SENT)
+
+
+def _best(hits: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy("distance", "item_id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def _blockwise_hits(points: DataFrame, asked: DataFrame, k: int, block_rows: int) -> DataFrame:
-    n_points, n_asked = (max(1, -(-df.count() // block_rows)) for df in (points, asked))
+def _search(items: DataFrame, queries: DataFrame, k: int, block_rows: int, part_rows: int, seen: list[DataFrame] | None = None) -> DataFrame:
+    points, asked = (df.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")) for df in (items, queries))
+    pivots = _pivots(points, part_rows)
+    if pivots is None:
+        return points.sparkSession.createDataFrame([], _HITS)
+    placed, asked = materialise(pivots.placed(points)), materialise(pivots.placed(asked))
+    pivots.measure(placed)
+    blocks = F.array(*[F.lit(int(n)) for n in pivots.blocks(block_rows)])
+    held = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.get(blocks, F.col("part"))).cast("int")).groupBy("part", "block")
 
-    def blocked(df: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
-        block = F.pmod(F.xxhash64("id"), F.lit(own_n)).cast("int")
-        return df.withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))))
-
-    def merge(items: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if items.empty or queries.empty:
+    def merge(near: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        if near.empty or asking.empty:
             return pd.DataFrame({"query_id": [], "item_id": [], "distance": []})
-        return _closest(
-            queries["id"].to_numpy(), np.stack(queries["vec"].to_numpy()),
-            items["id"].to_numpy(), np.stack(items["vec"].to_numpy()), k,
-        )
-
-    left = blocked(points, "_p", n_points, "_q", n_asked).groupBy("_p", "_q")
-    right = blocked(asked, "_q", n_asked, "_p", n_points).groupBy("_p", "_q")
-    return left.cogroup(right).applyInPandas(merge, _HITS)
+        return _closest(asking["id"].to_numpy(), np.stack(asking["vec"].to_numpy()), near["id"].to_numpy(), np.stack(near["vec"].to_numpy()), k)
+
+    def looked(sent: DataFrame) -> DataFrame:
+        if seen is not None:
+            seen.append(sent)
+        return held.cogroup(sent.groupBy("part", "block")).applyInPandas(merge, _HITS)
+
+    # First each query looks into its own part; the k-th distance there says how far it still has to look.
+    first = materialise(_best(looked(_sent(asked.select("id", "vec", "part"), pivots, block_rows)), k).drop("rank"))
+    far = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("far"))
+    reach = F.coalesce("far", F.lit(float("inf"))).alias("reach")
+    second = looked(_sent(asked.join(far, asked.id == far.query_id, "left").select("id", "vec", "part", reach), pivots, block_rows))
+    return first.unionByName(second)
+
+
+def knn(items: DataFrame, queries: DataFrame, k: int, block_rows: int = 20_000, part_rows: int = PART_ROWS) -> DataFrame:
+    """(query_id, item_id, distance, rank) for ``items(id, vec)`` and ``queries(id, vec)``; exact.
+
+    Items lie in parts around pivots. A query looks into its own part first, then only into parts that
+    the distance of its k-th hit so far can reach: by how near and far a part lies from its pivot, and by
+    the plane between the two pivots. A large part is many blocks; a task hands on at most k hits per query.
+    """
+    return _best(_search(items, queries, k, block_rows, part_rows), k)
+
+
+def compared(items: DataFrame, queries: DataFrame, k: int, block_rows: int = 20_000, part_rows: int = PART_ROWS) -> DataFrame:
+    """(pairs, all_pairs): how many pairs of a query and an item such a search compares, and how many there are."""
+    seen: list[DataFrame] = []
+    _search(items, queries, k, block_rows, part_rows, seen)
+    points = items.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    pivots = _pivots(points, part_rows)
+    counts = pivots.placed(points).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    visits = seen[0].unionByName(seen[1]).where("block = 0").groupBy("part").agg(F.count(F.lit(1)).alias("q"))
+    every = queries.agg(F.count(F.lit(1))).scalar() * items.agg(F.count(F.lit(1))).scalar()
+    return counts.join(visits, "part").agg(F.sum(F.col("n") * F.col("q")).alias("pairs")).withColumn("all_pairs", every)
 
 
 def _uniform(seed: int, row: str, number: str) -> Column:

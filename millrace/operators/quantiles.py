@@ -1,9 +1,10 @@
 """Exact quantiles per group when a group may be too large for one task.
 
 ``percentile`` keeps every distinct value of a group in one aggregation buffer.
-Here a sketch first brackets each quantile within a guaranteed rank error; then
-all values outside the brackets collapse to one counted row each, so only the
-few rows inside a bracket are ever ordered.
+Here a sketch first brackets each quantile within a guaranteed rank error. While a
+bracket still holds more than ``MOST`` rows, the rows inside it are sketched again and the bracket
+shrinks to the steps around the wanted rank, forty times a pass. Then all values outside the
+brackets collapse to one counted row each, so at most about ``MOST`` rows of a group are ever ordered.
 """
 
 from __future__ import annotations
@@ -21,20 +22,53 @@ from millrace.session import materialise
 _ACCURACY = 20_000  # the sketch's rank error is at most rows / _ACCURACY
 
 
-def _bracketed_counts(df: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float]) -> DataFrame:
+MOST = 1 << 16  # rows of a bracket that may be left to be ordered
+_GRID = 128
+
+
+def _narrowed(data: DataFrame, sketch: DataFrame, keys: Sequence[str], quantiles: Sequence[float], most: int) -> DataFrame:
+    """The same brackets, none of which holds more than ``most`` rows unless they are all one value."""
+    grid = [k / _GRID for k in range(_GRID + 1)]
+    while True:
+        ends, v = F.col("_ends"), F.col("v")
+        measures = []
+        for j in range(len(quantiles)):
+            inside = (v >= ends[2 * j]) & (v <= ends[2 * j + 1])
+            measures += [F.count_if(v < ends[2 * j]).alias(f"_below{j}"), F.count_if(inside).alias(f"_in{j}"), F.percentile_approx(F.when(inside, v), grid, 100 * _GRID).alias(f"_grid{j}")]
+        joined = data.join(sketch, [*keys])
+        sized = materialise(joined.groupBy(*keys).agg(F.first("_ends").alias("_ends"), F.first("_rows").alias("_rows"), *measures))
+        wide = [(F.col(f"_in{j}") > most) & (ends[2 * j] < ends[2 * j + 1]) for j in range(len(quantiles))]
+        made = []
+        for j, q in enumerate(quantiles):
+            position = F.lit(float(q)) * (F.col("_rows") - 1) - F.col(f"_below{j}")
+            step = F.col(f"_in{j}") / _GRID
+            low, high = F.floor(F.floor(position) / step).cast("int") - 1, F.ceil((F.ceil(position) + 1) / step).cast("int") + 1
+            steps = F.col(f"_grid{j}")
+            made.append(F.when(wide[j] & (low > 0), F.get(steps, low)).otherwise(ends[2 * j]))
+            made.append(F.when(wide[j] & (high < _GRID), F.get(steps, high)).otherwise(ends[2 * j + 1]))
+        after = materialise(sized.select(*keys, F.array(*made).alias("_ends"), "_rows", (F.greatest(*[w.cast("int") for w in wide], F.lit(0)) == 1).alias("_wide"), F.col("_ends").alias("_old")))
+        sketch = after.select(*keys, "_ends", "_rows")
+        if after.where("_wide AND _ends <> _old").isEmpty():
+            return sketch
+
+
+def _bracketed_counts(df: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float], most: int = MOST, accuracy: int = _ACCURACY) -> DataFrame:
     """(keys, v, gap, n, _rows): values near a quantile one by one, the others lumped (gap = 1).
 
     The smallest and the largest value of a lump stay values of their own. In a group with so few
     rows that the slack spans no whole rank, the sketch is exact and a wanted rank is at most one
     outside its bracket, so it is such a value: one rule holds for groups of every size.
     """
-    slack = 4.0 / _ACCURACY
+    slack = 4.0 / accuracy
     ends = [p for q in quantiles for p in (max(0.0, q - slack), min(1.0, q + slack))]
     data = df.select(*keys, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
     # stored, so that its size decides whether the raw rows have to move for the join
     sketch = materialise(
-        data.groupBy(*keys).agg(F.percentile_approx("v", ends, _ACCURACY).alias("_ends"), F.count("v").alias("_rows"))
+        data.groupBy(*keys).agg(F.percentile_approx("v", ends, accuracy).alias("_ends"), F.count("v").alias("_rows"))
     )
+    # A bracket holds a known share of its group, so the largest group tells whether any can be too wide.
+    if (sketch.agg(F.max("_rows")).first()[0] or 0) * 3 * slack > most:
+        sketch = _narrowed(data, sketch, keys, quantiles, most)
 
     def place(lump: int | None) -> Column:
         alone = F.col("v") if lump is None else F.lit(None).cast("double")
@@ -60,11 +94,11 @@ def _bracketed_counts(df: DataFrame, keys: Sequence[str], value: str, quantiles:
 
 
 def grouped_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float]
+    df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], most: int = MOST, accuracy: int = _ACCURACY
 ) -> DataFrame:
     """One row per group with a column per named quantile, linearly interpolated."""
     wanted = sorted(quantiles.items(), key=lambda item: item[1])
-    counts = _bracketed_counts(df, keys, value, [q for _, q in wanted])
+    counts = _bracketed_counts(df, keys, value, [q for _, q in wanted], most, accuracy)
     running = Window.partitionBy(*keys).orderBy("v", "gap").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = counts.withColumn("_upto", F.sum("n").over(running))
 

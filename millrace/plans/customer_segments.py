@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,8 +71,9 @@ def preprocess(tables: dict[str, DataFrame], scaler: DataFrame | None = None) ->
     return scaling.minmax_apply(raw, scaler, SCALED), scaler
 
 
-def train(prepared: DataFrame, seed: int = 1) -> KMeansModel:
-    return clustering.fit(prepared, COORDINATES, k=4, max_iter=300, seed=seed)
+def train(prepared: DataFrame, seed: int = 1, **settings) -> DataFrame:
+    """One row with the centroids."""
+    return clustering.fit(prepared, "customerid", COORDINATES, **{"k": 4, "max_iter": 300, "seed": seed, **settings})
 
 
 def score(prepared: DataFrame, centroids: DataFrame) -> DataFrame:

@@ -361,6 +361,45 @@ def ingest_csv(src: S.Source) -> DataFrame:
     return delimited.conform(unique, delimited.declared("order", "train"))
 
 
+@query(
+    "ingest_csv_quoted_breaks",
+    """SELECT doc_id, replace(replace(text, chr(10), chr(10) || '"'), 'e', 'e;') || chr(10) AS text, source FROM documents WHERE text <> ''""",
+)
+def ingest_csv_quoted_breaks(src: S.Source) -> DataFrame:
+    """Documents with quotes, delimiters and line breaks in their text, written as delimited lines and read back by many splits."""
+    text = F.concat(F.replace(F.replace("text", F.lit("\n"), F.lit('\n"')), F.lit("e"), F.lit("e;")), F.lit("\n"))
+    docs = src["documents"].where("text <> ''").select("doc_id", text.alias("text"), "source")
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    lines = docs.select(F.concat_ws(";", F.col("doc_id").cast("string"), quoted, F.coalesce("source", F.lit(""))).alias("line"))
+    path = f"{shared_folder(src.spark)}/ingest_csv-{uuid.uuid4().hex}"
+    header = src.spark.createDataFrame([("DOC_ID;Text;SOURCE",)], "line string")
+    header.unionByName(lines).coalesce(1).write.text(path)
+    read = delimited.read_text_columns(src.spark, path, keep_bad_bytes=True)
+    return read.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
+
+
+_RAGGED = ["c_customer_sk", "c_customer_id", "c_current_addr_sk", "c_first_name", "c_last_name", "c_preferred_cust_flag",
+           "c_birth_day", "c_birth_month", "c_birth_year", "c_birth_country", "c_login", "c_email_address"]
+
+
+@query(
+    "ingest_csv_ragged",
+    """SELECT CAST(c_custkey AS INTEGER) AS c_customer_sk, c_name AS c_customer_id, CAST(c_nationkey AS INTEGER) AS c_current_addr_sk,
+              CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment || ', ' || c_custkey ELSE c_mktsegment END AS c_login,
+              'm' || c_custkey AS c_email_address FROM customer""",
+)
+def ingest_csv_ragged(src: S.Source) -> DataFrame:
+    """Customers as lines of which a third has a field cut at a delimiter: the halves are joined again."""
+    key = F.col("c_custkey").cast("string")
+    login = F.when(F.col("c_custkey") % 3 == 0, F.concat("c_mktsegment", F.lit(","), key)).otherwise(F.col("c_mktsegment"))
+    fields = [key, F.col("c_name"), F.col("c_nationkey").cast("string"), *[F.lit(x) for x in ("A", "B", "Y", "1", "2", "1990", "PERU")], login, F.concat(F.lit("m"), key)]
+    path = f"{shared_folder(src.spark)}/ingest_csv-{uuid.uuid4().hex}"
+    header = src.spark.createDataFrame([(",".join(_RAGGED).upper(),)], "line string")
+    header.unionByName(src["customer"].select(F.concat_ws(",", *fields).alias("line"))).coalesce(1).write.text(path)
+    read = delimited.conform(delimited.read_text_columns(src.spark, path, repair=True), delimited.declared("customer", "score"))
+    return read.select("c_customer_sk", "c_customer_id", "c_current_addr_sk", "c_login", "c_email_address")
+
+
 # ---------------------------------------------------------------- run statistics
 
 _STATS = """

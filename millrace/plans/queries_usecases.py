@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.expressions import each_token
 from millrace.operators import boosting, clustering, factorisation, folds, kernel_svm, logistic, metrics, scaling
+from millrace.operators.folds import fold_sql
 from millrace.plans import (
     boosting_sql,
     customer_segments,
@@ -67,28 +68,53 @@ def uc01_features(src: S.Source) -> DataFrame:
     )
 
 
-@query("uc01_train")
-def uc01_train(src: S.Source) -> DataFrame:
-    prepared = materialise(_uc01_prepared(src))
-    table = clustering.centroid_table(prepared, customer_segments.train(prepared))
-    return table.select(F.posexplode("centroids").alias("cluster_id", "c")).select(
-        "cluster_id", F.col("c")[0].alias("frequency"), F.col("c")[1].alias("returnratio")
-    )
-
-
 _LLOYD_STEPS = 10
 
 
-def _lloyd_sql() -> str:
+def _lloyd_sql(steps: int = _LLOYD_STEPS, start: str | None = None) -> str:
     points = [f"({i}, {f}e0, {r}e0)" for i, (f, r) in enumerate(CENTROIDS)]
-    steps = [f"lloyd0(k, f, r) AS (VALUES {', '.join(points)})"]
-    for i in range(1, _LLOYD_STEPS + 1):
-        steps.append(f"""lloyd{i} AS MATERIALIZED (
+    chain = [start or f"lloyd0(k, f, r) AS (VALUES {', '.join(points)})"]
+    for i in range(1, steps + 1):
+        chain.append(f"""lloyd{i} AS MATERIALIZED (
             SELECT k, coalesce(mf, f) f, coalesce(mr, r) r FROM lloyd{i - 1} LEFT JOIN (
                 SELECT near, avg(frequency) mf, avg(returnratio) mr FROM (
                     SELECT frequency, returnratio, arg_min(k, (pow(frequency - f, 2) + pow(returnratio - r, 2), k)) near
                     FROM scaled, lloyd{i - 1} GROUP BY customerid, frequency, returnratio) GROUP BY near) ON near = k)""")
-    return ", ".join(steps)
+    return ", ".join(chain)
+
+
+def _seeds_sql(k: int = 4, rounds: int = 2, seed: int = 1) -> str:
+    """Oversampled candidates, their weights and the chosen ones; ends in lloyd0."""
+    coin = "CAST(('0x' || substr(md5(customerid || '-{}-" + str(seed) + "'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE"
+    gap = "pow(frequency - f, 2) + pow(returnratio - r, 2)"
+    steps = [f"cand0 AS MATERIALIZED (SELECT customerid id, frequency f, returnratio r FROM scaled ORDER BY {coin.format(0)}, customerid LIMIT 1)"]
+    for j in range(1, rounds + 1):
+        steps.append(f"far{j} AS MATERIALIZED (SELECT customerid, frequency, returnratio, min({gap}) d FROM scaled, cand{j - 1} GROUP BY ALL)")
+        steps.append(f"""cand{j} AS MATERIALIZED (SELECT * FROM cand{j - 1} UNION SELECT customerid, frequency, returnratio FROM far{j}
+            WHERE {coin.format(j)} < {2 * k} * d / (SELECT sum(d) FROM far{j}))""")
+    steps.append(f"""weighed AS MATERIALIZED (SELECT id, any_value(f) f, any_value(r) r, count(customerid) w FROM cand{rounds} LEFT JOIN (
+        SELECT customerid, arg_min(id, ({gap}, id)) near FROM scaled, cand{rounds} GROUP BY customerid) ON near = id GROUP BY id)""")
+    steps.append("pick0 AS MATERIALIZED (SELECT 0 k, id, f, r FROM weighed ORDER BY w DESC, id LIMIT 1)")
+    for j in range(1, k):
+        steps.append(f"""pick{j} AS MATERIALIZED (SELECT * FROM pick{j - 1} UNION ALL (SELECT {j}, a.id, a.f, a.r FROM weighed a, pick{j - 1} b
+            GROUP BY a.id, a.f, a.r, a.w ORDER BY a.w * min(pow(a.f - b.f, 2) + pow(a.r - b.r, 2)) DESC, a.id LIMIT 1))""")
+    return ", ".join(steps) + f", lloyd0 AS (SELECT k, f, r FROM pick{k - 1})"
+
+
+_TRAIN_STEPS = 12
+
+
+@query(
+    "uc01_train",
+    f"""WITH {_UC01_RAW}, {_lloyd_sql(_TRAIN_STEPS, _seeds_sql())}
+    SELECT CAST(k AS INTEGER) AS cluster_id, round(f, 6) AS frequency, round(r, 6) AS returnratio FROM lloyd{_TRAIN_STEPS}""",
+)
+def uc01_train(src: S.Source) -> DataFrame:
+    """Seeds and Lloyd steps, both of which SQL can follow."""
+    table = customer_segments.train(_uc01_prepared(src), max_iter=_TRAIN_STEPS, tolerance=0.0)
+    return table.select(F.posexplode("centroids").alias("cluster_id", "c")).select(
+        "cluster_id", F.round(F.col("c")[0], 6).alias("frequency"), F.round(F.col("c")[1], 6).alias("returnratio")
+    )
 
 
 @query(
@@ -344,6 +370,26 @@ def uc04_score(src: S.Source) -> DataFrame:
     return spam_reviews.score(_uc04_predicted(src), S.review_labels(src)).select(F.round("f1", 6).alias("f1"))
 
 
+_UC04_HELD = _UC04_PREDICT.replace("ON id = doc_id GROUP BY 1", f"ON id = doc_id WHERE {fold_sql('id')} <> 0 GROUP BY 1").replace(
+    "ON labels.doc_id = documents.doc_id)", f"ON labels.doc_id = documents.doc_id WHERE {fold_sql('labels.doc_id')} <> 0)"
+)
+
+
+@query(
+    "uc04_unseen_score",
+    f"""WITH {_UC04_HELD} SELECT round(2.0 * count(*) FILTER (WHERE predicted_spam = 1 AND toxic = 1)
+        / (2.0 * count(*) FILTER (WHERE predicted_spam = 1 AND toxic = 1)
+           + count(*) FILTER (WHERE predicted_spam <> toxic)), 6) AS f1 FROM pred JOIN labels ON id = doc_id WHERE {fold_sql("id")} = 0""",
+)
+def uc04_unseen_score(src: S.Source) -> DataFrame:
+    """The score on reviews of the held-out fold, by a model of the others."""
+    seen, unseen = folds.split(S.labelled_reviews(src), ["id"])
+    model, priors = spam_reviews.train(materialise(spam_reviews.preprocess(seen)))
+    asked = materialise(spam_reviews.preprocess(unseen))
+    predicted = spam_reviews.predict(asked.drop("spam"), materialise(model), priors)
+    return spam_reviews.score(predicted, asked).select(F.round("f1", 6).alias("f1"))
+
+
 # ---------------------------------------------------------------- use case 06
 
 _DEVICE_DAYS = """
@@ -398,20 +444,26 @@ def uc06_balanced(src: S.Source) -> DataFrame:
     return rows.withColumns({c: F.round(c, 5) for c in device_failures.FEATURES})
 
 
+@shared_fit
 def _uc06_fit(src: S.Source):
-    return device_failures.train(materialise(device_failures.preprocess(S.device_days(src), "train")))
+    """Classifier and scaler from the device days outside the held-out fold."""
+    seen = folds.split(S.device_days(src), ["id"])[0]
+    return device_failures.train(materialise(device_failures.preprocess(seen, "train")))
 
 
 @query("uc06_train")
 def uc06_train(src: S.Source) -> DataFrame:
+    """Coefficients, and the gradient of the loss at them."""
     model, _ = _uc06_fit(src)
-    return kernel_svm.component_table(src.spark, model).select("component", "offset", "coefficient")
+    rows = [(i, b, c, g) for i, ((_, b), c, g) in enumerate(zip(model.projection, model.coefficients, model.gradient))]
+    return src.spark.createDataFrame(rows, "component int, offset double, coefficient double, gradient double")
 
 
 @query("uc06_trained_score")
 def uc06_trained_score(src: S.Source) -> DataFrame:
-    days = S.device_days(src)
-    return device_failures.score(device_failures.predict(days, *_uc06_fit(src)), days)
+    """The score on device days that the fit has not seen."""
+    unseen = folds.split(S.device_days(src), ["id"])[1]
+    return device_failures.score(device_failures.predict(unseen, *_uc06_fit(src)), unseen)
 
 
 # A fixed model of three components for the check of the prediction.
@@ -438,6 +490,47 @@ made AS (SELECT id, failure, CASE WHEN {_MARGIN} + {KERNEL.intercept} > 0 THEN 1
 """
 
 
+_SVM_STEPS = 8
+
+
+def _svm_newton_sql(reg: float = 0.1) -> str:
+    """Newton steps of a squared hinge machine on two mapped features, classes weighed alike."""
+    angles = [f"({a})" for a in _ANGLES[:2]]
+    steps = [
+        f"""mapped AS (SELECT cos{angles[0]} x, cos{angles[1]} y, 2 * failure - 1 s,
+            CASE WHEN failure = 1 THEN 0.5 / p ELSE 0.5 / (1 - p) END c FROM scaled, (SELECT CAST(avg(failure) AS DOUBLE) p FROM scaled))""",
+        "svm0 AS (SELECT 0.0::DOUBLE w1, 0.0::DOUBLE w2, 0.0::DOUBLE b)",
+    ]
+    for i in range(1, _SVM_STEPS + 1):
+        steps.append(f"""sums{i} AS (SELECT any_value(w1) w1, any_value(w2) w2, any_value(b) b, sum(c) n,
+            sum(k * x * x) / sum(c) + {reg} h00, sum(k * x * y) / sum(c) h01, sum(k * x) / sum(c) h02,
+            sum(k * y * y) / sum(c) + {reg} h11, sum(k * y) / sum(c) h12, sum(k) / sum(c) h22,
+            sum(k * (m - s) * x) / sum(c) + {reg} * any_value(w1) g0, sum(k * (m - s) * y) / sum(c) + {reg} * any_value(w2) g1, sum(k * (m - s)) / sum(c) g2
+            FROM (SELECT *, CASE WHEN s * m < 1 THEN 2 * c ELSE 0 END k FROM (SELECT *, w1 * x + w2 * y + b m FROM mapped, svm{i - 1})))""")
+        steps.append(f"""svm{i} AS (
+            SELECT w1 - ((h11 * h22 - h12 * h12) * g0 + (h02 * h12 - h01 * h22) * g1 + (h01 * h12 - h02 * h11) * g2) / d w1,
+                   w2 - ((h02 * h12 - h01 * h22) * g0 + (h00 * h22 - h02 * h02) * g1 + (h01 * h02 - h00 * h12) * g2) / d w2,
+                   b - ((h01 * h12 - h02 * h11) * g0 + (h01 * h02 - h00 * h12) * g1 + (h00 * h11 - h01 * h01) * g2) / d b
+            FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) d FROM sums{i}))""")
+    return ", ".join(steps)
+
+
+@query(
+    "uc06_small_fit",
+    f"""WITH {_UC06_PREDICT}, {_svm_newton_sql()}
+    SELECT CAST(term AS INTEGER) AS term, round([w1, w2, b][term + 1], 5) AS coefficient, TRUE AS settled FROM svm{_SVM_STEPS}, range(3) t(term)""",
+)
+def uc06_small_fit(src: S.Source) -> DataFrame:
+    """Two mapped features: the coefficients, and whether the gradient vanishes at them."""
+    days = S.device_days(src)
+    scaler = scaling.standard_fit(materialise(device_failures.preprocess(days, "train")), device_failures.FEATURES)
+    rows = scaling.standard_apply(days, scaler, device_failures.FEATURES)
+    model = kernel_svm.fit(rows, device_failures.FEATURES, "failure", reg_param=0.1, tol=1e-9, projection=KERNEL.projection[:2])
+    settled = max(map(abs, model.gradient)) <= 1e-9
+    table = [(i, float(round(c, 5)), settled) for i, c in enumerate([*model.coefficients, model.intercept])]
+    return src.spark.createDataFrame(table, "term int, coefficient double, settled boolean")
+
+
 def _uc06_predicted(src: S.Source) -> DataFrame:
     train = materialise(device_failures.preprocess(S.device_days(src), "train"))
     return device_failures.predict(S.device_days(src), KERNEL, scaling.standard_fit(train, device_failures.FEATURES))
@@ -483,19 +576,64 @@ def matrix_dims(src: S.Source) -> DataFrame:
     return factorisation.matrix_dims(S.ratings(src), "userid", "productid")
 
 
+_RATING_IDS = ["userid", "productid"]
+
+
+@shared_fit
+def _uc07_fit(src: S.Source) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Factors of users and items by 20 sweeps of rank 100 over the ratings outside the held-out fold, and those ratings."""
+    ratings = materialise(folds.split(product_ratings.preprocess(S.ratings(src)), _RATING_IDS)[0])
+    return *product_ratings.train(ratings), ratings
+
+
 @query("uc07_train")
 def uc07_train(src: S.Source) -> DataFrame:
-    users, items = product_ratings.train(product_ratings.preprocess(S.ratings(src)))
-    side = F.lit("user").alias("side")
-    norm = F.aggregate("features", F.lit(0.0), lambda t, x: t + x * x)
-    return users.select(side, "id", F.sqrt(norm).alias("norm")).unionByName(
-        items.select(F.lit("item").alias("side"), "id", F.sqrt(norm).alias("norm"))
-    )
+    users, items, _ = _uc07_fit(src)
+    norm = F.sqrt(F.aggregate("features", F.lit(0.0).cast("double"), lambda t, x: t + x * x)).alias("norm")
+    return users.select(F.lit("user").alias("side"), "id", norm).unionByName(items.select(F.lit("item").alias("side"), "id", norm))
+
+
+@query(
+    "uc07_equations",
+    f"""WITH {_RATINGS} SELECT productid AS id, count(*) AS n, TRUE AS holds FROM ratings
+    WHERE {fold_sql("userid", "productid")} <> 0 GROUP BY productid""",
+)
+def uc07_equations(src: S.Source) -> DataFrame:
+    """Of each item whether the fit solves its normal equations, and over how many ratings."""
+    users, items, ratings = _uc07_fit(src)
+    off = factorisation.residuals(ratings, items, users, "productid", "userid")
+    return off.select("id", "n", (F.col("residual") < 1e-9).alias("holds"))
+
+
+def _sweeps_sql(sweeps: int, reg: float = 0.1, seed: int = 1) -> str:
+    """Least squares of rank two in turns, from digests of the item ids; ends in u and v of each sweep."""
+    first = ", ".join(f"CAST(('0x' || substr(md5(productid || '/{k}/{seed}'), 1, 8)) AS BIGINT) / (4294967296.0::DOUBLE * sqrt(2.0::DOUBLE)) f{k + 1}" for k in range(2))
+    steps = [f"v0 AS (SELECT productid id, {first} FROM (SELECT DISTINCT productid FROM ratings))"]
+    for k in range(1, sweeps + 1):
+        for made, given, own, other in ((f"u{k}", f"v{k - 1}", "userid", "productid"), (f"v{k}", f"u{k}", "productid", "userid")):
+            steps.append(f"""{made} AS (SELECT id, (a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12) f1, (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) f2
+                FROM (SELECT {own} id, sum(f1 * f1) + {reg} * count(*) a11, sum(f1 * f2) a12, sum(f2 * f2) + {reg} * count(*) a22,
+                             sum(rating * f1) b1, sum(rating * f2) b2 FROM ratings JOIN {given} ON {given}.id = {other} GROUP BY 1))""")
+    return ", ".join(steps)
+
+
+@query(
+    "uc07_small_fit",
+    f"""WITH {_RATINGS}, {_sweeps_sql(2)}
+    SELECT 'user' AS side, id, round(f1, 5) AS f1, round(f2, 5) AS f2 FROM u2 UNION ALL SELECT 'item', id, round(f1, 5), round(f2, 5) FROM v2""",
+)
+def uc07_small_fit(src: S.Source) -> DataFrame:
+    """Two sweeps of rank two: every factor."""
+    users, items = factorisation.fit(product_ratings.preprocess(S.ratings(src)), rank=2, iterations=2, chunk=20)
+    pair = [F.round(F.col("features")[k], 5).alias(f"f{k + 1}") for k in range(2)]
+    return users.select(F.lit("user").alias("side"), "id", *pair).unionByName(items.select(F.lit("item").alias("side"), "id", *pair))
 
 
 def _uc07_predicted(src: S.Source) -> tuple[DataFrame, DataFrame]:
-    ratings = materialise(product_ratings.preprocess(S.ratings(src)))
-    return product_ratings.predict(ratings, product_ratings.train(ratings), ratings), ratings
+    """Predictions for ratings that the fit has not seen, and those ratings."""
+    users, items, ratings = _uc07_fit(src)
+    unseen = materialise(folds.split(product_ratings.preprocess(S.ratings(src)), _RATING_IDS)[1])
+    return product_ratings.predict(unseen, (users, items), ratings), unseen
 
 
 @query("uc07_predict")

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.operators import boosting, clustering, kernel_svm
+from millrace.operators import boosting, kernel_svm
 from millrace.plans import (
     customer_segments,
     device_failures,
@@ -75,8 +75,7 @@ def _uc01(run: Run) -> None:
     if "train" in run.stages:
         with run.log.step("uc01", "train"):
             prepared = run.load("uc01_train_preprocessed")
-            model = customer_segments.train(prepared)
-            run.save("uc01_model", clustering.centroid_table(prepared, model))
+            run.save("uc01_model", customer_segments.train(prepared))
     for split in ("score", "serve"):
         if split in run.stages:
             with run.log.step("uc01", split):

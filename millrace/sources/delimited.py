@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.sources.records import records
 from millrace.sources.schemas import TABLES
 
 DELIMITERS = (",", ";", "\t", "|")
@@ -23,13 +24,11 @@ _ABSENT = "\u0001"  # stands for "no value at all", so an empty field stays dist
 
 def find_file(spark: SparkSession, folder: str, name: str) -> str | None:
     """Path of a file by name pattern, ignoring case; None when there is none."""
-    try:
-        listed = spark.read.format("binaryFile").load(folder).select("path").collect()
-    except Exception as error:  # the folder itself is missing
-        if "PATH_NOT_FOUND" in str(error):
-            return None
-        raise
-    hits = [r.path for r in listed if fnmatch.fnmatchcase(r.path.rsplit("/", 1)[-1].lower(), name.lower())]
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return None
+    hits = [f.getPath().toString() for f in system.listStatus(path) if fnmatch.fnmatchcase(f.getPath().getName().lower(), name.lower())]
     return min(hits, default=None)
 
 
@@ -42,15 +41,6 @@ def detect_delimiter(header: str) -> str:
     return next((d for d in DELIMITERS if d in header), ",")
 
 
-def load_order() -> Column:
-    """Sort key that follows the file: (file, byte offset of the block, position inside it)."""
-    return F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"),
-    )
-
-
 def _repair(df: DataFrame, names: list[str]) -> DataFrame:
     """Join the two halves of a field that was cut at an unquoted delimiter."""
     extra = F.col("_extra").isNotNull()
@@ -70,10 +60,10 @@ def _repair(df: DataFrame, names: list[str]) -> DataFrame:
 def read_text_columns(
     spark: SparkSession, path: str, repair: bool = False, keep_bad_bytes: bool = False
 ) -> DataFrame:
-    """All columns as text, lower-cased header names, plus ``_order`` (see load_order).
+    """All columns as text, lower-cased header names, plus ``_order``: (file, offset of the split, number inside it).
 
     Bytes that are not UTF-8 become U+FFFD, and are dropped unless ``keep_bad_bytes``. Quoted line
-    breaks belong to their field, so a file is read by one task and files in parallel. A row with more
+    breaks belong to their field, as \\n; a file is read by as many tasks as it has splits. A row with more
     or fewer fields than the header stops the load, unless it is of the width that ``repair`` mends.
     """
     header = first_line(spark, path)
@@ -82,10 +72,10 @@ def read_text_columns(
     repair = repair and len(names) in REPAIRED_WIDTHS
     read_as = [*names, "_extra"] if repair else [*names, "_corrupt"]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in read_as])
-    rows = spark.read.csv(
-        path, schema=schema, sep=delimiter, header=True, quote='"', escape='"', encoding="UTF-8", nullValue=_ABSENT,
-        emptyValue="", mode="PERMISSIVE", multiLine=True, columnNameOfCorruptRecord="_corrupt",
-    ).select("*", load_order().alias("_order"))
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "nullValue": _ABSENT, "emptyValue": "", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    heading = (F.col("block") == 0) & (F.col("at") == 0)
+    found = records(spark, path, delimiter).where(~heading)
+    rows = found.select(F.from_csv("record", schema.toDDL(), options).alias("_row"), F.struct("file", "block", "at").alias("_order")).select("_row.*", "_order")
     if repair:
         rows = _repair(rows, names)
     else:

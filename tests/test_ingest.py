@@ -156,3 +156,33 @@ def test_booleans_are_true_or_false_or_an_error(spark):
     assert [r.flag for r in delimited.conform(words, schema).collect()] == [True, False, None]
     with pytest.raises(Exception, match="no boolean"):
         delimited.conform(spark.createDataFrame([("maybe",)], "flag string"), schema).collect()
+
+
+@pytest.mark.parametrize("split_bytes", [24, 61, 4096])
+def test_records_over_many_splits(spark, tmp_path, split_bytes):
+    import random
+
+    rng = random.Random(split_bytes)
+    fields = ["x", "", "two words", 'q"uo"te', "a\nb", "\n\n", "é,\n", "c\r\nd", "long " * 30 + "\n" * 5, '"']
+    want = [[str(k), rng.choice(fields), rng.choice(fields)] for k in range(120)]
+    quoted = lambda x: '"' + x.replace('"', '""') + '"' if any(c in x for c in '",\n\r') or rng.random() < 0.2 else x
+    for name, part in (("a.csv", want[:80]), ("b.csv", want[80:])):
+        lines = ["id,p,q"] + [",".join(map(quoted, row)) for row in part]
+        write(tmp_path / "in" / name, "\ufeff" * (name == "a.csv") + rng.choice(["\n", "\r\n"]).join(lines))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = delimited.read_text_columns(spark, str(tmp_path / "in")).select("id", "p", "q", "_order.*").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(([r.id, r.p or "", r.q or ""] for r in rows), key=lambda r: int(r[0])) == [[x.replace("\r\n", "\n") for x in row] for row in want]
+    in_file = [int(r.id) for r in sorted(rows, key=lambda r: (r.file, r.block, r.at))]
+    assert in_file == sorted(in_file)
+    assert split_bytes > 1000 or len({(r.file, r.block) for r in rows}) > 20
+
+
+def test_quotes_inside_a_field_open_nothing(spark, tmp_path):
+    rows = delimited.read_text_columns(spark, _file(tmp_path, 'a,b\n5" pipe,1\n\nx,"2"\n'))
+    assert sorted((r.a, r.b) for r in rows.collect()) == [('5" pipe', "1"), ("x", "2")]

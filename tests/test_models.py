@@ -22,8 +22,12 @@ def test_kmeans_finds_blobs(spark):
     rng = np.random.default_rng(3)
     centres = np.array([[0.1, 0.1], [0.1, 0.9], [0.9, 0.1], [0.9, 0.9]])
     points = np.vstack([c + rng.normal(0, 0.02, (60, 2)) for c in centres])
-    df = frame(spark, {"x": points[:, 0], "y": points[:, 1]})
-    found = clustering.centroid_table(df, clustering.fit(df, ["x", "y"], k=4, seed=2))
+    df = frame(spark, {"id": np.arange(len(points)), "x": points[:, 0], "y": points[:, 1]})
+    found = clustering.fit(df, "id", ["x", "y"], k=4, seed=2)
+    again = clustering.fit(df.repartition(7), "id", ["x", "y"], k=4, seed=2).first()["centroids"]
+    assert np.allclose(again, found.first()["centroids"], atol=1e-12)
+    same = frame(spark, {"id": np.arange(5), "x": np.ones(5)})
+    assert clustering.fit(same, "id", ["x"], k=3).first()["centroids"] == [[1.0]]
     by_place = sorted(found.first()["centroids"], key=lambda c: [round(x, 1) for x in c])
     assert np.allclose(by_place, centres, atol=0.02)
     silhouette = clustering.simplified_silhouette(df, found, ["x", "y"]).first()[0]
@@ -163,6 +167,69 @@ def test_boosted_trees_learn_the_deciding_column(spark):
     assert {r["class"]: r.recall for r in boosting.class_metrics(made, "class_label_predicted", "label").collect()}[20] > 0.95
 
 
+def plain_boosting(x, y, cuts, rounds, depth, classes):
+    """Softmax boosting over given cuts, row by row; (round, class, node, feature, cut) of every split, and the margins."""
+    bins = np.stack([np.searchsorted(c, x[:, f]) for f, c in enumerate(cuts)], axis=1)
+    margins, splits = np.zeros((len(x), classes)), set()
+    for r in range(rounds):
+        e = np.exp(margins - margins.max(axis=1, keepdims=True))
+        p = e / e.sum(axis=1, keepdims=True)
+        for k in range(classes):
+            g, h, node = p[:, k] - (y == k), 2 * p[:, k] * (1 - p[:, k]), np.zeros(len(x), int)
+            for level in range(depth):
+                for n in range((1 << level) - 1, (1 << level + 1) - 1):
+                    rows = np.flatnonzero(node == n)
+                    best, at = 1e-6, None
+                    for f in range(x.shape[1]):
+                        for b in range(len(cuts[f])):
+                            left = rows[bins[rows, f] <= b]
+                            gl, hl, gt, ht = g[left].sum(), h[left].sum(), g[rows].sum(), h[rows].sum()
+                            gain = gl**2 / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt**2 / (ht + 1)
+                            if hl >= 1 and ht - hl >= 1 and gain > best + 1e-9:
+                                best, at = gain, (f, b)
+                    if at:
+                        splits.add((r, k, n, at[0], float(cuts[at[0]][at[1]])))
+                        node[rows] = 2 * n + 1 + (bins[rows, at[0]] > at[1])
+            for n in np.unique(node):
+                rows = node == n
+                margins[rows, k] += -0.3 * g[rows].sum() / (h[rows].sum() + 1)
+    return splits, margins
+
+
+def test_boosted_trees_equal_plain_boosting(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    n = 400
+    x = np.stack([rng.integers(0, 9, n), rng.normal(size=n).round(1), np.zeros(n)], axis=1)
+    y = (x[:, 0] > 4).astype(int) + (x[:, 1] > 0.4) * (rng.uniform(size=n) < 0.8)
+    df = frame(spark, {"id": np.arange(n), "a": x[:, 0], "b": x[:, 1], "same": x[:, 2], "label": y}).repartition(3)
+    cuts = {"a": [1, 3, 4, 6], "b": [-1, -0.3, 0.4, 0.9], "same": [0.0]}
+    splits, margins = plain_boosting(x, y, [np.array(c, float) for c in cuts.values()], 3, 3, 3)
+    model = boosting.fit(df, list(cuts), "label", rounds=3, max_depth=3, cuts=cuts)
+    found = {tuple(r) for r in boosting.nodes(spark, model).where("feature IS NOT NULL").select("round", "class", "node", "feature", "cut").collect()}
+    assert found == splits
+    boosting.save(spark, model, str(tmp_path / "m"))
+    for m in (model, boosting.load(spark, str(tmp_path / "m"))):
+        made = {r.id: r.class_label_predicted for r in boosting.predict(df, m, "id").collect()}
+        assert [made[k] for k in range(n)] == margins.argmax(axis=1).tolist()
+    nulls = df.withColumn("b", F.when(F.col("id") % 5 > 0, F.col("b"))).withColumn("label", F.when(F.col("id") % 7 > 0, F.col("label")))
+    assert boosting.predict(nulls, boosting.fit(nulls, ["a", "b"], "label", rounds=2, subsample=0.7), "id").count() == n
+
+
+def test_factors_solve_their_equations_on_a_hot_item(spark):
+    rng = np.random.default_rng(9)
+    rows = [(u, 1, float(rng.integers(1, 6))) for u in range(300)] + [(int(u), int(i), float(rng.integers(1, 6))) for u, i in zip(rng.integers(0, 300, 500), rng.integers(2, 60, 500))]
+    ratings = spark.createDataFrame([*rows, (None, 3, 1.0), (5, 2, None)], "userid long, productid long, rating double").repartition(4)
+    whole = factorisation.fit(ratings, rank=6, iterations=3)
+    parts = factorisation.fit(ratings, rank=6, iterations=3, chunk=16)  # the hot item in many chunks
+    for (users, items) in (whole, parts):
+        off = factorisation.residuals(ratings, items, users, "productid", "userid")
+        assert off.agg(F.max("residual")).first()[0] < 1e-9 and off.count() == items.count()
+    a, b = ({r.id: r.features for r in side.collect()} for side in (whole[1], parts[1]))
+    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a)
+    named = ratings.select(F.concat(F.lit("u"), "userid").alias("userid"), "productid", "rating")
+    assert factorisation.fit(named, rank=2, iterations=1)[0].schema["id"].dataType.simpleString() == "string"
+
+
 def test_logistic_regression_known_coefficients(spark):
     rng = np.random.default_rng(8)
     x, y = rng.uniform(0, 1, 4000), rng.uniform(0, 1, 4000)

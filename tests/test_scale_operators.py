@@ -90,6 +90,19 @@ def test_quantiles_match_numpy(spark, monkeypatch, accuracy):
         assert r.median == pytest.approx(statistics.median(groups[r.k]))
 
 
+def test_wide_brackets_are_narrowed(spark):
+    rng = np.random.default_rng(6)
+    groups = {"many": rng.normal(size=9000), "ties": np.repeat([1.0, 2.0, 7.0], [2000, 3000, 1500]), "skewed": np.exp(rng.normal(size=4000) * 9), "few": np.array([3.0, 1.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "k string, v double").repartition(5)
+    wanted = {"q1": 0.01, "q25": 0.25, "q50": 0.5, "q99": 0.99}
+    for r in quantiles.grouped_quantiles(df, ["k"], "v", wanted, most=60, accuracy=100).collect():
+        assert [r[n] for n in wanted] == pytest.approx([np.quantile(groups[r.k], q) for q in wanted.values()])
+    left = quantiles._bracketed_counts(df, ["k"], "v", [0.5], most=60, accuracy=100).groupBy("k").count().collect()
+    assert max(r["count"] for r in left) <= 60 + 8
+    wide = quantiles._bracketed_counts(df, ["k"], "v", [0.5], most=1 << 20, accuracy=100).groupBy("k").count().collect()
+    assert max(r["count"] for r in wide) > 300
+
+
 def test_row_ids_follow_the_order(spark):
     df = spark.createDataFrame([(i * 7919 % 1000, i) for i in range(1000)], "k int, v int").repartition(7)
     got = numbering.row_ids(df, ["k"]).collect()
@@ -112,6 +125,28 @@ def test_knn_equals_brute_force(spark, rows):
     assert len(found) == queries.count()
 
 
+@pytest.mark.parametrize("part_rows", [7, 40, 1000])
+def test_knn_in_parts_is_exact_and_looks_at_few(spark, part_rows):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 4)) * 20
+    points = np.vstack([c + rng.normal(size=(60, 4)) for c in centres] + [np.tile(centres[0], (25, 1))])
+    items = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, vec array<double>").repartition(4)
+    queries = spark.createDataFrame([(10_000 + i, (p + 0.01).tolist()) for i, p in enumerate(points[::9])], "id long, vec array<double>")
+    found = {}
+    for r in sorted(neighbours.knn(items, queries, 6, block_rows=30, part_rows=part_rows).collect(), key=lambda r: r["rank"]):
+        found.setdefault(r.query_id, []).append((r.item_id, r.distance))
+    for i, p in enumerate(points[::9] + 0.01):
+        d = np.sqrt(((points - p) ** 2).sum(axis=1))
+        want = sorted(range(len(points)), key=lambda j: (d[j], j))[:6]
+        assert [j for j, _ in found[10_000 + i]] == want and [x for _, x in found[10_000 + i]] == pytest.approx(d[want])
+    if part_rows < 1000:
+        share = neighbours.compared(items, queries, 6, block_rows=30, part_rows=part_rows).first()
+        assert share.all_pairs == len(found) * len(points) and share.pairs < 0.2 * share.all_pairs
+    few = items.filter("id < 3")
+    assert neighbours.knn(few, queries, 6, part_rows=1).count() == 3 * len(found)
+    assert neighbours.knn(items.limit(0), queries, 6).count() == neighbours.knn(items, queries.limit(0), 6).count() == 0
+
+
 def test_adasyn_fills_the_minority(spark):
     rng = np.random.default_rng(5)
     majority, minority = rng.uniform(-1, 1, (200, 2)), rng.uniform(-0.5, 0.5, (20, 2))
