@@ -220,7 +220,7 @@ def test_factors_solve_their_equations_on_a_hot_item(spark):
     rows = [(u, 1, float(rng.integers(1, 6))) for u in range(300)] + [(int(u), int(i), float(rng.integers(1, 6))) for u, i in zip(rng.integers(0, 300, 500), rng.integers(2, 60, 500))]
     ratings = spark.createDataFrame([*rows, (None, 3, 1.0), (5, 2, None)], "userid long, productid long, rating double").repartition(4)
     whole = factorisation.fit(ratings, rank=6, iterations=3)
-    parts = factorisation.fit(ratings, rank=6, iterations=3, chunk=16)  # the hot item in many chunks
+    parts = factorisation.fit(ratings, rank=6, iterations=3, chunk=16, block_ratings=90)  # the hot item in many chunks and blocks
     for (users, items) in (whole, parts):
         off = factorisation.residuals(ratings, items, users, "productid", "userid")
         assert off.agg(F.max("residual")).first()[0] < 1e-9 and off.count() == items.count()
