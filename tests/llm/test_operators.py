@@ -137,6 +137,28 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0), model).count() == 0
 
 
+def test_url_scores_and_unseen_hosts(spark):
+    model = url_filter.fit(url_filter.labelled_table(spark))
+    blocked, clean = ["casino-win", "cheap-pills", "free-bets", "adult-x", "spam-farm", "ads-track"], ["theron", "tionsh", "ththan", "quiet-harbour", "maple"]
+    assert not any(name in url for name in blocked + clean for url, _ in url_filter.LABELLED)
+    urls = [f"https://{p}{n}.example.com/en/{k}" for k, n in enumerate(blocked + clean) for p in ("", "www.")] + ["http://Ü😀é.x/ß/中文", "http://x", "", None]
+    urls.append("http://" + "casino." * 70_000 + "com/" + "é" * 500_000)
+    rows = url_filter.judge(spark.createDataFrame([*enumerate(urls)], "page_id long, url string"), model).collect()
+
+    def grams(text, side):
+        marked, seed = f"^{text}$", xxhash.xxh64_intdigest(side.encode(), 42)
+        return [xxhash.xxh64_intdigest(marked[k : k + n].encode(), seed) for n in url_filter.SIZES for k in range(len(marked) - n + 1)]
+
+    for r in rows:
+        want = model.intercept
+        for text, side in ((r.host, "h"), (r.path, "p")):
+            found = [(h - (1 << 64) if h >> 63 else h) % url_filter.BUCKETS for h in grams(text, side)]
+            want += sum(model.weights[j] for j in found) / max(1, len(found)) ** 0.5
+        assert r.score == pytest.approx(want, abs=1e-6)
+    blocks = [r.score > 0 for r in sorted(rows, key=lambda r: r.page_id)]
+    assert sum(blocks[:12]) >= 10 and not any(blocks[12:22]), [(r.host, r.score) for r in rows[:22]]
+
+
 # 4 mixing
 
 
