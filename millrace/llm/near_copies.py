@@ -13,7 +13,7 @@ documents come last, the commonest of all at the end, so that a common passage i
 
 A key gives, whatever its size, only links to its first set and between neighbours by size at first. Copies of one
 text are joined by these. Once their groups are known, the pairs of a key that still lie in different groups are
-compared, all of them; so a group of near copies costs its number of members, not of their pairs.
+held against each other by size, place and parities where they lie; only those that can be similar leave the task.
 
 Defined cases: words and shingles are those of ``simhash``; sets are compared by 64-bit hashes of the shingles,
 and equal sets are one; texts without words are alike; a null doc_id keeps its row and links others; an empty
@@ -41,7 +41,7 @@ COMMON = 8
 MOST_COMMON = 300_000
 # Up to so many sets are named to every task that looks for them; more are joined.
 MOST_BROADCAST = 1_000_000
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _CLASSES = 1024
 
 
@@ -164,13 +164,22 @@ def _first_pairs(token: np.ndarray, node: np.ndarray, size: np.ndarray, at: np.n
         yield pa.RecordBatch.from_arrays([pa.array(node[more]), pa.nulls(m, pa.int64()), pa.array(token[more]), pa.array(size[more].astype(np.int32)), pa.array(at[more].astype(np.int32))], ["a", "b", "token", "size", "at"])
 
 
+def _bits(odd: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(odd.to_pylist()), np.uint64).reshape(-1, _CLASSES // 64)
+
+
+def _can_be(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether parities differ in no more classes than sets at 0.8, of n shingles together, can have apart."""
+    return np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= n - 2 * ((4 * n + 8) // 9)
+
+
 def _by_key(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
     """The columns in stretches of whole keys; the first column is the key that the rows are sorted by."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append([batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names])
+        held.append([_bits(batch.column(n)) if n == "odd" else batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names])
         if sum(len(h[0]) for h in held) >= 1 << 18 and held[0][0][0] != held[-1][0][-1]:
             whole = [np.concatenate(x) for x in zip(*held, strict=True)]
             cut = int(np.flatnonzero(whole[0] != whole[0][-1])[-1]) + 1
@@ -192,8 +201,8 @@ def candidates(short: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, _PAIRS)
 
 
-def _apart(token: np.ndarray, node: np.ndarray, size: np.ndarray, at: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """All candidates of whole keys whose sets are in different groups."""
+def _apart(token: np.ndarray, node: np.ndarray, size: np.ndarray, at: np.ndarray, group: np.ndarray, odd: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """All candidates of whole keys whose sets are in different groups and can be similar."""
     first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])).tolist()
     for f, e in zip(first, [*first[1:], len(token)], strict=True):
         if (group[f:e] == group[f]).all():
@@ -203,18 +212,21 @@ def _apart(token: np.ndarray, node: np.ndarray, size: np.ndarray, at: np.ndarray
             x = np.arange(b, min(e, b + rows))[:, None]
             y = np.arange(b, e)[None, :]
             i, j = np.nonzero((x < y) & (group[x] != group[y]) & _fit((size[x], at[x]), (size[y], at[y])))
-            if len(i):
-                yield _pair_rows(node[i + b], node[j + b])
+            i, j = i + b, j + b
+            keep = _can_be(odd[i], odd[j], size[i] + size[j])
+            if keep.any():
+                yield _pair_rows(node[i[keep]], node[j[keep]])
 
 
-def remaining(crowded: DataFrame, linked: DataFrame) -> DataFrame:
-    """Pairs of a key that the links found so far leave in different groups."""
+def remaining(crowded: DataFrame, linked: DataFrame, short: DataFrame) -> DataFrame:
+    """Pairs of a key that the links found so far leave in different groups, and that can be similar."""
     reached = stored(components(linked), "near-components")
     rows = crowded.join(reached, crowded.a == reached.node, "left").select("token", "a", "size", "at", F.coalesce("component", "a").alias("component"))
+    rows = rows.join(short.select(F.col("node").alias("a"), "odd"), "a")
     rows = rows.repartition(partitions(crowded.sparkSession), "token").sortWithinPartitions("token", "size", "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _by_key(batches, ("token", "a", "size", "at", "component")):
+        for columns in _by_key(batches, ("token", "a", "size", "at", "component", "odd")):
             yield from _apart(*columns)
 
     return rows.mapInArrow(run, _PAIRS).select("a", "b").distinct()
@@ -226,10 +238,8 @@ def possible(pairs: DataFrame, short: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            odd = [np.frombuffer(b"".join(batch.column(f"{k}_odd").to_pylist()), np.uint64).reshape(-1, _CLASSES // 64) for k in ("a", "b")]
             n = sum(batch.column(f"{k}_size").to_numpy(zero_copy_only=False).astype(np.int64) for k in ("a", "b"))
-            apart = np.bitwise_count(odd[0] ^ odd[1]).sum(1, dtype=np.int64)
-            yield batch.select(["a", "b"]).filter(pa.array(apart <= n - 2 * ((4 * n + 8) // 9)))
+            yield batch.select(["a", "b"]).filter(pa.array(_can_be(_bits(batch.column("a_odd")), _bits(batch.column("b_odd")), n)))
 
     return pairs.join(x, "a").join(y, "b").mapInArrow(run, "a long, b long")
 
@@ -279,7 +289,7 @@ def links(docs: DataFrame, marks: DataFrame) -> DataFrame:
     crowded = found.where("b IS NULL")
     if crowded.isEmpty():
         return linked
-    return linked.unionByName(confirmed(possible(remaining(crowded, linked), short), docs))
+    return linked.unionByName(confirmed(remaining(crowded, linked, short), docs))
 
 
 def groups(docs: DataFrame) -> DataFrame:
