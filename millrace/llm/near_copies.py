@@ -41,7 +41,7 @@ COMMON = 8
 MOST_COMMON = 300_000
 # Up to so many sets are named to every task that looks for them; more are joined.
 MOST_BROADCAST = 1_000_000
-_BLOCK = 1 << 18
+_BLOCK = 1 << 15  # pairs held against each other at a time
 _CLASSES = 1024
 
 
@@ -180,7 +180,7 @@ def _by_key(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterat
         if not batch.num_rows:
             continue
         held.append([_bits(batch.column(n)) if n == "odd" else batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names])
-        if sum(len(h[0]) for h in held) >= 1 << 18 and held[0][0][0] != held[-1][0][-1]:
+        if sum(len(h[0]) for h in held) >= 1 << 16 and held[0][0][0] != held[-1][0][-1]:
             whole = [np.concatenate(x) for x in zip(*held, strict=True)]
             cut = int(np.flatnonzero(whole[0] != whole[0][-1])[-1]) + 1
             yield [x[:cut] for x in whole]
