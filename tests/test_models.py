@@ -230,6 +230,29 @@ def test_factors_solve_their_equations_on_a_hot_item(spark):
     assert factorisation.fit(named, rank=2, iterations=1)[0].schema["id"].dataType.simpleString() == "string"
 
 
+def test_factorisation_removes_what_it_sent(spark, monkeypatch):
+    """Disk must not grow with the sweeps, and residuals must not lay out a row for each number of each rating."""
+    cells = [(k % 40, k * 7 % 31, float(k % 5 + 1)) for k in range(600)]
+    ratings = spark.createDataFrame(cells, "userid long, productid long, rating double")
+    whole = factorisation.fit(ratings, rank=3, iterations=2)
+
+    def files() -> int:
+        disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return disk.getAllFiles().mkString(" ").count("shuffle_")
+
+    monkeypatch.setattr(factorisation, "PHASE_BYTES", 1 << 11)  # a few blocks at a time
+    left = []
+    for sweeps in (1, 2):
+        before = files()
+        parts = factorisation.fit(ratings, rank=3, iterations=sweeps, block_ratings=150)
+        left.append(files() - before)
+    assert left[1] <= left[0] + 4
+    for a, b in zip(whole, parts, strict=True):
+        a, b = ({r.id: r.features for r in side.collect()} for side in (a, b))
+        assert a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a)
+    assert factorisation.residuals(ratings, parts[1], parts[0], "productid", "userid").agg(F.max("residual")).first()[0] < 1e-9
+
+
 def test_logistic_regression_known_coefficients(spark):
     rng = np.random.default_rng(8)
     x, y = rng.uniform(0, 1, 4000), rng.uniform(0, 1, 4000)
