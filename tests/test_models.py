@@ -215,6 +215,25 @@ def test_boosted_trees_equal_plain_boosting(spark, tmp_path):
     assert boosting.predict(nulls, boosting.fit(nulls, ["a", "b"], "label", rounds=2, subsample=0.7), "id").count() == n
 
 
+def test_histograms_read_only_what_lies_outside_the_frequent_bins():
+    rng = np.random.default_rng(3)
+    n, widths = 500, [4, 2, 9]
+    bins = np.stack([np.where(rng.random(n) < 0.1, rng.integers(0, w, n), w - 1) for w in widths]).astype(np.uint8)
+    outside = boosting._outside(bins, widths)
+    assert len(outside[0]) == (bins != np.array(widths, np.uint8)[:, None] - 1).sum() < n
+    label = rng.integers(0, 2, n).astype(np.int32)
+    block = boosting._with_gradients(bins, outside, label, rng.normal(size=(n, 2)), 0, 1.0, (1, 0))
+    tree, slot = boosting.Tree.empty(2), np.array([-1, 0, -1, -1, -1, -1, -1, -1], np.int32)
+    tree.feature[0], tree.bin[0] = 0, 2  # only the left child is summed
+    found = dict(boosting._histograms(iter([block]), [tree, tree], 1, [slot, slot], widths))
+    for k in range(2):
+        for f, width in enumerate(widths):
+            plain = np.zeros((1, width, 2), np.int64)
+            for r in np.flatnonzero(bins[0] <= 2):
+                plain[0, bins[f, r]] += [int(block[4][k, r]), int(block[5][k, r])]
+            assert (found[k, f] == plain).all()
+
+
 def test_factors_solve_their_equations_on_a_hot_item(spark):
     rng = np.random.default_rng(9)
     rows = [(u, 1, float(rng.integers(1, 6))) for u in range(300)] + [(int(u), int(i), float(rng.integers(1, 6))) for u, i in zip(rng.integers(0, 300, 500), rng.integers(2, 60, 500))]
