@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -361,6 +363,18 @@ def ingest_csv(src: S.Source) -> DataFrame:
     return delimited.conform(unique, delimited.declared("order", "train"))
 
 
+def _write_headed(lines: DataFrame, header: str, path: str) -> None:
+    """Lines as text files, as many as there are partitions, each with its header."""
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"line": [header]})
+        for batch in batches:  # named anew, as a column without nulls has another schema than the header
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["line"])
+
+    alone = lines.sparkSession.createDataFrame([(header,)], "line string")  # for a table without rows
+    alone.unionByName(lines.mapInArrow(headed, "line string")).write.text(path)
+
+
 @query(
     "ingest_csv_quoted_breaks",
     """SELECT doc_id, replace(replace(text, chr(10), chr(10) || '"'), 'e', 'e;') || chr(10) AS text, source FROM documents WHERE text <> ''""",
@@ -372,8 +386,7 @@ def ingest_csv_quoted_breaks(src: S.Source) -> DataFrame:
     quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
     lines = docs.select(F.concat_ws(";", F.col("doc_id").cast("string"), quoted, F.coalesce("source", F.lit(""))).alias("line"))
     path = f"{shared_folder(src.spark)}/ingest_csv-{uuid.uuid4().hex}"
-    header = src.spark.createDataFrame([("DOC_ID;Text;SOURCE",)], "line string")
-    header.unionByName(lines).coalesce(1).write.text(path)
+    _write_headed(lines, "DOC_ID;Text;SOURCE", path)
     read = delimited.read_text_columns(src.spark, path, keep_bad_bytes=True)
     return read.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
 

@@ -186,3 +186,19 @@ def test_records_over_many_splits(spark, tmp_path, split_bytes):
 def test_quotes_inside_a_field_open_nothing(spark, tmp_path):
     rows = delimited.read_text_columns(spark, _file(tmp_path, 'a,b\n5" pipe,1\n\nx,"2"\n'))
     assert sorted((r.a, r.b) for r in rows.collect()) == [('5" pipe', "1"), ("x", "2")]
+
+
+def test_lines_are_written_by_every_partition(spark, tmp_path):
+    """One task that writes the whole table would read all of it."""
+    from pyspark.sql import functions as F
+
+    from millrace.plans import queries_operators
+
+    docs = spark.range(40).repartition(4).select("id", F.concat(F.lit('"a;\n""'), F.col("id").cast("string"), F.lit('\n"')).alias("text"))
+    lines = docs.select(F.concat_ws(";", F.col("id").cast("string"), "text").alias("line"))
+    queries_operators._write_headed(lines, "ID;Text", str(tmp_path / "many"))
+    assert len(list((tmp_path / "many").glob("part-*"))) > 4
+    found = delimited.read_text_columns(spark, str(tmp_path / "many")).collect()
+    assert sorted((int(r.id), r.text) for r in found) == [(k, f'a;\n"{k}\n') for k in range(40)]
+    queries_operators._write_headed(lines.where("false"), "ID;Text", str(tmp_path / "none"))
+    assert delimited.read_text_columns(spark, str(tmp_path / "none")).columns == ["id", "text", "_order"]
