@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from millrace.operators import arima, boosting, clustering, factorisation, kernel_svm, logistic, metrics, naive_bayes
@@ -272,6 +273,39 @@ def test_factorisation_removes_what_it_sent(spark, monkeypatch):
     assert factorisation.residuals(ratings, parts[1], parts[0], "productid", "userid").agg(F.max("residual")).first()[0] < 1e-9
 
 
+def test_factorisation_lays_out_one_block_in_a_task(spark, monkeypatch):
+    """A task that deals out holds what it has: that must not be all blocks of a file, nor an array for each block and home."""
+    cells = [(k % 40, k * 7 % 31, float(k % 5 + 1)) for k in range(600)]
+    ratings = spark.createDataFrame(cells, "user long, item long, rating double")
+    held, dealt = [], RDD.partitionBy
+
+    def counted(self, *args, **more):
+        held.append(max(self.mapPartitions(lambda part: [sum(len(x) == len(factorisation._LAYOUT) for _, x in part)]).collect()))
+        return dealt(self, *args, **more)
+
+    monkeypatch.setattr(RDD, "partitionBy", counted)
+    side = factorisation._laid_out(ratings, "user", "item", blocks=24, homes=3, rank=2, chunk=4)
+    ((layout, routes),) = side.phases
+    assert max(held) == 1 and sum(len(x[0]) for _, x in layout.collect()) >= 40
+    assert routes.count() <= 3
+    side.unpersist()
+
+
+def test_factorisation_sums_chunks_in_time_of_their_number(monkeypatch):
+    rng = np.random.default_rng(4)
+    names = np.arange(700)
+    letters = [(0, (names, rng.uniform(size=(700, 2, 2)), rng.uniform(size=(700, 2)), np.ones(700))) for _ in range(64)]
+    rows, summed = [], factorisation._summed
+    monkeypatch.setattr(factorisation, "_summed", lambda arrays: rows.append(sum(len(x[0]) for x in arrays)) or summed(arrays))
+    ((home, (ids, made)),) = factorisation._met(iter(letters), 2, 0.1)
+    gram, right = sum(x[1] for _, x in letters), sum(x[2] for _, x in letters)
+    assert home == 0 and (ids == names).all()
+    assert np.allclose(made, np.linalg.solve(gram + 6.4 * np.eye(2), right[:, :, None])[:, :, 0])
+    assert sum(rows) <= 3 * 64 * 700
+    whole = np.arange(2000), np.full(2000, 4), np.ones(2000, np.int8), np.arange(8), np.tile(np.arange(4), 2000), np.ones(8000)
+    assert len([*factorisation._solutions(whole, rng.uniform(size=(8, 2)), 0.1, 3)]) == 3  # a letter to each home
+
+
 def test_logistic_regression_known_coefficients(spark):
     rng = np.random.default_rng(8)
     x, y = rng.uniform(0, 1, 4000), rng.uniform(0, 1, 4000)
