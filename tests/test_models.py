@@ -293,15 +293,17 @@ def test_factorisation_lays_out_one_block_in_a_task(spark, monkeypatch):
 
 def test_factorisation_sums_chunks_in_time_of_their_number(monkeypatch):
     rng = np.random.default_rng(4)
-    names = np.arange(700)
-    letters = [(0, (names, rng.uniform(size=(700, 2, 2)), rng.uniform(size=(700, 2)), np.ones(700))) for _ in range(64)]
+    letters = [(0, (np.arange(k % 10, 700, 10), rng.uniform(size=(70, 2, 2)), rng.uniform(size=(70, 2)), np.ones(70))) for k in range(640)]
     rows, summed = [], factorisation._summed
     monkeypatch.setattr(factorisation, "_summed", lambda arrays: rows.append(sum(len(x[0]) for x in arrays)) or summed(arrays))
     ((home, (ids, made)),) = factorisation._met(iter(letters), 2, 0.1)
-    gram, right = sum(x[1] for _, x in letters), sum(x[2] for _, x in letters)
-    assert home == 0 and (ids == names).all()
+    gram, right = np.zeros((700, 2, 2)), np.zeros((700, 2))
+    for _, (names, a, b, _) in letters:
+        gram[names] += a
+        right[names] += b
+    assert home == 0 and (ids == np.arange(700)).all()
     assert np.allclose(made, np.linalg.solve(gram + 6.4 * np.eye(2), right[:, :, None])[:, :, 0])
-    assert sum(rows) <= 3 * 64 * 700
+    assert sum(rows) <= 3 * 640 * 70
     whole = np.arange(2000), np.full(2000, 4), np.ones(2000, np.int8), np.arange(8), np.tile(np.arange(4), 2000), np.ones(8000)
     assert len([*factorisation._solutions(whole, rng.uniform(size=(8, 2)), 0.1, 3)]) == 3  # a letter to each home
 
