@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark import RDD
 from pyspark.sql import functions as F
 
+from millrace.functions import digests
 from millrace.operators import arima, boosting, clustering, factorisation, kernel_svm, logistic, metrics, naive_bayes
 from millrace.plans import device_failures, product_ratings, spam_reviews
 
@@ -273,6 +275,37 @@ def test_factorisation_removes_what_it_sent(spark, monkeypatch):
     assert factorisation.residuals(ratings, parts[1], parts[0], "productid", "userid").agg(F.max("residual")).first()[0] < 1e-9
 
 
+def test_factorisation_writes_factors_once_and_blocks_read_them(spark, monkeypatch, tmp_path):
+    """A half-sweep must not send a factor to each block that needs it, if a file of it can be read by all; what is sent gives the same."""
+    cells = [(k % 70 - 3, k * 7 % 31, float(k % 5 + 1)) for k in range(900)]
+    ratings = spark.createDataFrame(cells, "userid long, productid long, rating double")
+    settings = {"rank": 3, "iterations": 2, "chunk": 20, "block_ratings": 150}
+    with monkeypatch.context() as m:
+        m.setattr(factorisation, "mounted", lambda *_: None)
+        sent = factorisation.fit(ratings, **settings)
+        off = factorisation.residuals(ratings, sent[1], sent[0], "productid", "userid").collect()
+    made = []
+    monkeypatch.setattr(factorisation, "new_folder", lambda _: made.append(f"file://{tmp_path}/{len(made)}") or made[-1])
+    monkeypatch.setattr(factorisation, "_letters", None)
+    read = factorisation.fit(ratings, **settings)
+    for a, b in zip(sent, read, strict=True):
+        a, b = ({r.id: r.features for r in side.collect()} for side in (a, b))
+        assert a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a)
+    also = factorisation.residuals(ratings, read[1], read[0], "productid", "userid").collect()
+    assert {(r.id, r.n) for r in off} == {(r.id, r.n) for r in also} and max(r.residual for r in off + also) < 1e-9
+    assert len(made) == 2 and not [*tmp_path.iterdir()]  # nothing is left
+
+
+def test_factors_start_from_digests_of_their_ids():
+    ids = np.array([0, 7, -5, 123, 99999, 2**63 - 1, -(2**63), 10])
+    for some, k, heads in digests.md5_heads(ids, ["/0/1", "/12/1", "/" + "x" * 150, "/" + "9" * 54]):
+        for at, head in zip(some, heads, strict=True):
+            text = f"{ids[at]}{['/0/1', '/12/1', '/' + 'x' * 150, '/' + '9' * 54][k]}"
+            assert int(head) == int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+    numbers = factorisation.start(ids, 4, 1)
+    assert numbers.shape == (8, 4) and numbers[3, 2] == int(hashlib.md5(b"123/2/1").hexdigest()[:8], 16) / (4294967296.0 * 2)
+
+
 def test_factorisation_lays_out_one_block_in_a_task(spark, monkeypatch):
     """A task that deals out holds what it has: that must not be all blocks of a file, nor an array for each block and home."""
     cells = [(k % 40, k * 7 % 31, float(k % 5 + 1)) for k in range(600)]
