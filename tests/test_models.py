@@ -237,6 +237,32 @@ def test_histograms_read_only_what_lies_outside_the_frequent_bins():
             assert (found[k, f] == plain).all()
 
 
+def test_boosting_fills_its_blocks(spark):
+    """A pass costs a task and sums of its own for each block and partition; batches of 10,000 rows must not be blocks."""
+    df = spark.range(0, 150_000, numPartitions=2).select((F.col("id") % 9).cast("double").alias("x"), (F.col("id") % 2).cast("int").alias("_label"))
+    found = boosting._blocks(df, ["x"], [np.arange(8.0)], 2).map(lambda b: (len(b[2]), b[0].shape)).collect()
+    assert sorted(found) == [(75_000 - boosting.BLOCK_ROWS, (1, 75_000 - boosting.BLOCK_ROWS))] * 2 + [(boosting.BLOCK_ROWS, (1, boosting.BLOCK_ROWS))] * 2
+    many = spark.range(0, 1000, numPartitions=40).select(F.lit(1.0).alias("x"), F.lit(0).alias("_label"))
+    assert boosting._blocks(many, ["x"], [np.arange(8.0)], 2).getNumPartitions() == 1
+
+
+def test_rows_come_down_to_their_nodes():
+    rng = np.random.default_rng(5)
+    for depth, of in ((3, np.uint8), (8, np.uint16)):
+        tree, bins = boosting.Tree.empty(depth), rng.integers(0, 6, (4, 300)).astype(np.uint8)
+        for node in range((1 << depth) - 1):
+            if rng.random() < 0.8 and (not node or tree.feature[(node - 1) // 2] >= 0):
+                tree.feature[node], tree.bin[node] = rng.integers(0, 4), rng.integers(0, 5)
+        for levels in (0, 2, depth):
+            plain = np.zeros(300, int)
+            for r in range(300):
+                for _ in range(levels):
+                    f = tree.feature[plain[r]]
+                    plain[r] = plain[r] if f < 0 else 2 * plain[r] + 1 + (bins[f, r] > tree.bin[plain[r]])
+            placed = tree.place(bins, levels)
+            assert placed.dtype == of and (placed == plain).all()
+
+
 def test_factors_solve_their_equations_on_a_hot_item(spark):
     rng = np.random.default_rng(9)
     rows = [(u, 1, float(rng.integers(1, 6))) for u in range(300)] + [(int(u), int(i), float(rng.integers(1, 6))) for u, i in zip(rng.integers(0, 300, 500), rng.integers(2, 60, 500))]
