@@ -241,7 +241,8 @@ def test_boosting_fills_its_blocks(spark):
     """A pass costs a task and sums of its own for each block and partition; batches of 10,000 rows must not be blocks."""
     df = spark.range(0, 150_000, numPartitions=2).select((F.col("id") % 9).cast("double").alias("x"), (F.col("id") % 2).cast("int").alias("_label"))
     found = boosting._blocks(df, ["x"], [np.arange(8.0)], 2).map(lambda b: (len(b[2]), b[0].shape)).collect()
-    assert sorted(found) == [(75_000 - boosting.BLOCK_ROWS, (1, 75_000 - boosting.BLOCK_ROWS))] * 2 + [(boosting.BLOCK_ROWS, (1, boosting.BLOCK_ROWS))] * 2
+    full, rest = boosting.BLOCK_ROWS, 75_000 % boosting.BLOCK_ROWS
+    assert sorted(found) == [(rest, (1, rest))] * 2 + [(full, (1, full))] * 2 * (75_000 // full)
     many = spark.range(0, 1000, numPartitions=40).select(F.lit(1.0).alias("x"), F.lit(0).alias("_label"))
     assert boosting._blocks(many, ["x"], [np.arange(8.0)], 2).getNumPartitions() == 1
 
